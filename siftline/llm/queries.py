@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from siftline.llm.best_fit_packing import best_fit_packing
 from siftline.llm.common import read_documents
 from siftline.llm.direct_access_codes import token_id_roundtrip
+from siftline.llm.simhash_dedup import simhash_groups
+
+
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read_documents(spark, sf_dir))
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,5 +23,5 @@ def op8_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op5_best_fit_packing, op8_token_id_codes)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op8_token_id_codes)}
 ORACLE_SQL: dict[str, str] = {}
