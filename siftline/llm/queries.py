@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siftline.llm.best_fit_packing import best_fit_packing
 from siftline.llm.common import read_documents
 from siftline.llm.direct_access_codes import token_id_roundtrip
+from siftline.llm import quality_rules as rules
 from siftline.llm.simhash_dedup import simhash_groups
 
 
@@ -19,9 +20,14 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return rules.quality_rules(read_documents(spark, sf_dir)).select("doc_id", *names)
+
+
 def op8_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op8_token_id_codes)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op6_quality_rules, op8_token_id_codes)}
+ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
