@@ -9,6 +9,7 @@ from siftline.llm.best_fit_packing import best_fit_packing
 from siftline.llm.common import read_documents
 from siftline.llm.direct_access_codes import token_id_roundtrip
 from siftline.llm import quality_rules as rules
+from siftline.llm.pii_spans import find_pii
 from siftline.llm.simhash_dedup import simhash_groups
 
 
@@ -29,5 +30,9 @@ def op8_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op6_quality_rules, op8_token_id_codes)}
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(read_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op6_quality_rules, op8_token_id_codes, op10_pii_spans)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
