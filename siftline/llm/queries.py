@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftline.llm.best_fit_packing import best_fit_packing
 from siftline.llm.common import read_documents
+from siftline.llm.context_mixing import score_texts
 from siftline.llm.direct_access_codes import token_id_roundtrip
 from siftline.llm import quality_rules as rules
 from siftline.llm.pii_spans import find_pii
@@ -26,6 +27,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(read_documents(spark, sf_dir)).select("doc_id", *names)
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(read_documents(spark, sf_dir))
+
+
 def op8_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,5 +39,5 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op6_quality_rules, op8_token_id_codes, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
