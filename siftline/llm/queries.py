@@ -10,6 +10,7 @@ from siftline.llm.common import read_documents
 from siftline.llm.context_mixing import score_texts
 from siftline.llm.direct_access_codes import token_id_roundtrip
 from siftline.llm import quality_rules as rules
+from siftline.llm.line_crf import quality_scores
 from siftline.llm.order_minhash import order_minhash_report
 from siftline.llm.pii_spans import find_pii
 from siftline.llm.simhash_dedup import simhash_groups
@@ -23,6 +24,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash_report(read_documents(spark, sf_dir))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -44,5 +49,5 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op3_line_crf, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
