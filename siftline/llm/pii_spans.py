@@ -16,6 +16,7 @@ import random
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -344,7 +345,7 @@ def redact_pii(docs: DataFrame) -> DataFrame:
     schema = docs.select(F.col("text").cast("string").alias("text")).schema
 
     @F.pandas_udf(schema["text"].dataType)
-    def clean(texts: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else redact(t, weights))
 
     out = docs.withColumn("text", clean(F.col("text").cast("string")))

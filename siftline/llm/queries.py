@@ -14,6 +14,7 @@ from siftline.llm.line_crf import quality_scores
 from siftline.llm.order_minhash import order_minhash_report
 from siftline.llm.pii_spans import find_pii
 from siftline.llm.simhash_dedup import simhash_groups
+from siftline.llm.soft_mixing import mixing_rates
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,11 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir).select("doc_id", "text")
+    return mixing_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(read_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -49,5 +55,5 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op3_line_crf, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op3_line_crf, op4_soft_mixing, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
