@@ -5,11 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from siftline.llm import quality_rules as rules
 from siftline.llm.best_fit_packing import best_fit_packing
 from siftline.llm.common import read_documents
 from siftline.llm.context_mixing import score_texts
 from siftline.llm.direct_access_codes import token_id_roundtrip
-from siftline.llm import quality_rules as rules
+from siftline.llm.licence_scan import scan_licences
 from siftline.llm.line_crf import quality_scores
 from siftline.llm.order_minhash import order_minhash_report
 from siftline.llm.pii_spans import find_pii
@@ -51,9 +52,13 @@ def op8_token_id_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_roundtrip(read_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(read_documents(spark, sf_dir))
+
+
 def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op3_line_crf, op4_soft_mixing, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op10_pii_spans)}
+QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op2_order_minhash, op3_line_crf, op4_soft_mixing, op5_best_fit_packing, op6_quality_rules, op7_context_mixing, op8_token_id_codes, op9_licence_scan, op10_pii_spans)}
 ORACLE_SQL: dict[str, str] = {"op6_quality_rules": rules.oracle_sql()}
