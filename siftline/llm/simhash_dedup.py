@@ -158,3 +158,13 @@ def simhash_groups(docs: DataFrame, distance: int = 4, n: int = 4) -> DataFrame:
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return by_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, distance: int = 4, n: int = 4) -> DataFrame:
+    """The document of least doc_id of every component, all columns as they were.
+
+    Rows of one doc_id are one document and come back once; rows without a doc_id belong to no group and stay.
+    """
+    kept = simhash_groups(docs.filter("doc_id is not null"), distance, n).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))

@@ -178,12 +178,12 @@ def fit_history(small: DataFrame, shares: list[float], steps: int, close: float)
     return history
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float] | None = None, label_columns: tuple[str, ...] = LABELS) -> DataFrame:
     """docs with each row as often as its rate says: the whole part, and once more with the chance of the rest.
 
     The chance is a hash of doc_id and text, so a document's copies are the same in every run; equal rows fare alike.
     """
-    rated = mixing_rates(docs, labels, targets)
+    rated = mixing_rates(docs, labels, targets, label_columns)
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)
     copies = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
     return rated.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
