@@ -104,6 +104,7 @@ def fit_field(docs: list[np.ndarray], lengths: list[np.ndarray], labels: np.ndar
     n = 3 * N_LINE
     field = LineField(np.zeros(n), np.zeros((2, 2)))
     if not len(docs):
+        field.curve = (0.0, 0.0)
         return field
     good = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
     if labels.min() == labels.max():
