@@ -125,23 +125,20 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float]
     model = docs.sparkSession.sparkContext.broadcast(classifier)
 
     rest = [c for c in docs.columns if c not in {"n_tokens", "domain", "rate", "_p", *names}]
-    out_type = "n_tokens long, p array<double>"
 
-    @F.pandas_udf(out_type)
-    def rated(texts: pd.Series) -> pd.DataFrame:
-        got = [features(t or "") for t in texts]
-        return pd.DataFrame({"n_tokens": np.array([n for _, _, n in got], np.int64), "p": list(model.value.posterior(got))})
+    def rated(history: list[np.ndarray]):
+        @F.pandas_udf("n_tokens long, p array<double>, rate double")
+        def of_texts(texts: pd.Series) -> pd.DataFrame:
+            got = [features(t or "") for t in texts]
+            p = model.value.posterior(got)
+            return pd.DataFrame({"n_tokens": np.array([n for _, _, n in got], np.int64), "p": list(p), "rate": rates_of(p, history)})
+
+        return of_texts(text).alias("_p")
 
     # the rates' fit needs tokens and posteriors alone; texts are read once for them and once for the result
-    small = written(docs.select(rated(text).alias("_p")).select("_p.n_tokens", "_p.p"), "posteriors")
+    small = written(docs.select(rated([])).select("_p.n_tokens", "_p.p"), "posteriors")
     history = fit_history(small, [targets.get(d, 0.0) for d in domains], steps, close)
-
-    @F.pandas_udf("double")
-    def final(p: pd.Series) -> pd.Series:
-        return pd.Series(rates_of(np.stack(p.to_list()), history) if len(p) else np.zeros(0))
-
-    out = docs.select(*rest, rated(text).alias("_p"))
-    out = out.select(*rest, F.col("_p.n_tokens").alias("n_tokens"), F.col("_p.p").alias("_p"), final(F.col("_p.p")).alias("rate"))
+    out = docs.select(*rest, rated(history)).select(*rest, "_p.n_tokens", F.col("_p.p").alias("_p"), "_p.rate")
     likeliest = F.element_at(F.array(*(F.lit(n[2:]) for n in names)), F.array_position(F.col("_p"), F.array_max("_p")).cast("int"))
     return out.select(*rest, "n_tokens", *(F.get("_p", F.lit(k)).alias(n) for k, n in enumerate(names)), likeliest.alias("domain"), "rate")
 
