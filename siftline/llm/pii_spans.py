@@ -9,6 +9,7 @@ generated sentences (``training_sentences``), so they are the same for every cor
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import math
@@ -91,7 +92,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text around triggers, cut at blanks; segments with a trigger lie in one of them."""
+    """Stretches of text within REACH of a trigger; those that meet become one."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = m.start() - REACH, m.end() + REACH
@@ -295,8 +296,19 @@ def fitted_weights(n: int = 300, epochs: int = 12, seed: int = 7, rate: float =
 def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and those with the field's: an added span overlaps no base span."""
     base = base_spans(text)
-    added = [x for a, b in regions(text) for x in decode(weights, text, a, b)]
-    added = [x for x in added if not any(x[0] < e and s < x[2] for s, _, e in base)]
+    starts, ends = [], []  # of the stretches that base spans cover
+    for s, _, e in base:
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+
+    def free(span: tuple[int, int, int]) -> bool:
+        k = bisect.bisect_left(starts, span[2])  # stretches that begin before the span's end
+        return not k or ends[k - 1] <= span[0]
+
+    added = [x for a, b in regions(text) for x in decode(weights, text, a, b) if free(x)]
     return base, sorted(base + added)
 
 
