@@ -42,7 +42,7 @@ def mask_sql(key: str, k: int) -> str:
 
 def words_for(keys: int, bits_per_key: int = 12) -> int:
     """Words of a filter for so many keys: a power of two, 32 at least."""
-    return 1 << max(5, (max(1, keys) * bits_per_key // WORD - 1).bit_length())
+    return 1 << max(5, (-(-max(1, keys) * bits_per_key // WORD) - 1).bit_length())
 
 
 def build(keys: DataFrame, key: str, words: int, k: int) -> DataFrame:
