@@ -113,3 +113,11 @@ def lookup_ns(device: str, mode: str, bits: int) -> float:
 def worth_it(lookup: float, work: float, selectivity: float, fpr: float) -> bool:
     """Whether a filter saves time: its lookup and the rows it lets through cost less than all rows."""
     return lookup + work * (selectivity + (1 - selectivity) * fpr) < work
+
+
+def describe(words: int, sectors: int, zones: int, k: int, m: int, device: str, work_ps: int, probe_rows: int, build_rows: int, selectivity: float) -> str:
+    """One line with a filter's parameters, its rate, and whether it pays at the first tabulated size not below it."""
+    rate = fpr_sectorized(m, build_rows, words, sectors, zones, k)
+    name = {"CPU": ("gtx1080", "cached"), "GPU": ("gtx1080", "pcie")}[device]
+    pays = worth_it(lookup_ns(*name, m), work_ps / 1000, selectivity, rate)
+    return f"w {words} s {sectors} z {zones} k {k} m {m} {device} slowdown 0 filtersize {m} tw {work_ps} probe_size {probe_rows} build_size {build_rows} fpr{rate:.6g} sel {selectivity} {'smaller' if pays else 'NOT'}"

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siftline.functions import hashing as H
 from siftline.operators import bloom, joins, profiles, timeline
 from siftline.plans import cost_model as cost
+from siftline.plans import experiments
 from siftline.plans.probe_query import ProbeQuery
 from siftline.sources import files, generators
 
@@ -289,6 +290,21 @@ def latex_rows(spark, sf_dir):
     return files.latex_rows(_t(spark, sf_dir, "orders"), ["o_orderkey", "o_orderpriority", "o_custkey"])
 
 
+SWEEP = (("none", "bloom"), (1, 50), 512, 4096)
+
+
+@query(" union all ".join(f"select '{st}' as strategy, {p} as percent, cast({generators.expected(512, 4096, p)[0]} as bigint) as ksum, cast({generators.expected(512, 4096, p)[1]} as bigint) as n_matches" for st in SWEEP[0] for p in SWEEP[1]))
+def experiment_selectivity(spark, sf_dir):
+    return experiments.answers(spark, *SWEEP)
+
+
+@query("select o_orderkey as key, o_orderpriority || ' --tw ' || o_custkey as value from orders where o_orderkey % 3 = 0")
+def log_lines_filter(spark, sf_dir):
+    option = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" --tw ")).otherwise(F.lit(" --gpu "))
+    lines = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.concat("o_orderpriority", option, F.col("o_custkey").cast("string")).alias("value"))
+    return files.lines_with(lines, "--tw")
+
+
 # --- cost model -----------------------------------------------------------------------------------
 
 CONFIGS = [(m, 1 << 20, k, b) for m in (1 << 22, 1 << 23, 1 << 24) for k in (1, 3, 5) for b in (256, 512)]

@@ -87,6 +87,11 @@ def parse_config_lines(lines: DataFrame) -> DataFrame:
     return lines.select(F.regexp_extract("value", r"\b(CPU|GPU)\b", 1).alias("device"), *(number(c) for c in CONFIG_FIELDS), F.regexp_extract("value", r"fpr([0-9.eE+-]+)", 1).cast("double").alias("fpr"))
 
 
+def lines_with(lines: DataFrame, text: str) -> DataFrame:
+    """The lines that hold ``text``."""
+    return lines.filter(F.contains("value", F.lit(text)))
+
+
 def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One text line a row, cells joined as a LaTeX table wants them."""
     return df.select(F.concat(F.concat_ws(" & ", *(F.col(c).cast("string") for c in columns)), F.lit(r" \\")).alias("value"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftline.functions import hashing as H
 from siftline.operators import bloom, joins, timeline
 from siftline.plans import cost_model as cost
+from siftline.plans import experiments
 from siftline.plans.probe_query import STRATEGIES, ProbeQuery
 from siftline.sources import files, generators
 from siftline.streaming.probe_stream import matching_totals
@@ -156,3 +157,20 @@ def test_words_for(n):
     assert words & (words - 1) == 0
     assert words == 32 or words / 2 * 32 < n * 12 <= words * 32
     assert math.log2(words) >= 5
+
+
+def test_sweep_and_log(spark, tmp_path):
+    log = experiments.PhaseLog()
+    rows = experiments.sweep(spark, ("none",), (0, 50), 64, 512, warm_ups=0, runs=1, log=log).collect()
+    assert [(r.selectivity, r.n_matches) for r in rows] == [(0, 0), (50, 256)]
+    for _ in range(2):
+        log.push("DONE")
+        log.flush(spark, f"file://{tmp_path}/log")
+    assert files.read_delimited(spark, f"file://{tmp_path}/log", experiments.EVENT).count() == 4
+
+
+def test_description_is_parsed_back(spark):
+    line = cost.describe(16, 1, 1, 3, 1 << 24, "CPU", 3666, 1 << 20, 1 << 22, 0.01)
+    got = files.parse_config_lines(spark.createDataFrame([(line,)], "value string")).first()
+    assert (got.w, got.k, got.m, got.tw, got.build_size) == (16, 3, 1 << 24, 3666, 1 << 22)
+    assert got.fpr == pytest.approx(cost.fpr_sectorized(1 << 24, 1 << 22, 16, 1, 1, 3), rel=1e-5)
