@@ -117,7 +117,8 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[tuple, float]
             got = [features(t or "") for t in batch.column(0).to_pylist()]
             yield table(made, batch.column(1), [a.astype(np.int32).tobytes() for a, _, _ in got], [s.tobytes() for _, s, _ in got])
 
-    rows = sample.select("text", F.concat_ws(",", *(f"_{c}" for c in label_columns)).alias("label")).mapInArrow(extract, "label string, words binary, shares binary").collect()
+    sample = sample.groupBy("_id", F.concat_ws(",", *(f"_{c}" for c in label_columns)).alias("label")).agg(F.min("text").alias("text"))  # of a repeated id one row
+    rows = sample.select("text", "label").mapInArrow(extract, "label string, words binary, shares binary").collect()
     number = {",".join(map(str, d)): k for k, d in enumerate(domains)}
     rows = sorted((r for r in rows if r.label in number), key=lambda r: (r.label, bytes(r.words), bytes(r.shares)))
     classifier = DomainClassifier(len(domains))
