@@ -121,6 +121,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                     for col, x in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                         col.append(x)
             yield table(PIECE_ARROW, *out)
+        enc.reset()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 

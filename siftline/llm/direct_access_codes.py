@@ -153,6 +153,7 @@ def write_codes(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2
                     yield close()
         if names:
             yield close()
+        enc.reset()
 
     # parts follow doc_id: a range partitioning, so part numbers ascend with the ids in them
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")

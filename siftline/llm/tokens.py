@@ -63,10 +63,11 @@ class TextEncoder:
 
     kind "spaced": byte-level vocabularies, where a space belongs to the next word.
     kind "blank": vocabularies that drop white space and never merge across it.
-    ``max_units`` bounds the memo; a full memo starts anew, which changes no result.
+    ``max_units`` bounds the memo; a full memo starts anew, which changes no result. Tasks ``reset`` it when
+    they end, so that idle workers hold nothing.
     """
 
-    def __init__(self, path: str, kind: str, max_units: int = 500_000):
+    def __init__(self, path: str, kind: str, max_units: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,20 +98,24 @@ class TextEncoder:
             return [text[:-1], text[-1]]
         return self.pieces(text)
 
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a piece of common letters, by the model itself."""
+        plain = piece.isascii() and piece.isprintable()
+        spelled = piece.replace(" ", SPACE) if plain else piece.encode().decode("latin-1").translate(LETTERS)
+        ids = self.piece_ids[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
+        return ids
+
     def _unit(self, text: str) -> bytes | None:
-        """Ids of a unit of common letters, by the model itself; None for any other unit."""
+        """Ids of a unit of common letters, piece by piece; None for any other unit."""
         if not text.isascii() and not COMMON.fullmatch(text):
             return None
-        out = []
         known = self.piece_ids
-        for piece in self._pieces(text.lower() if self.kind == "blank" else text):
-            ids = known.get(piece)
-            if ids is None:
-                plain = piece.isascii() and piece.isprintable()
-                spelled = piece.replace(" ", SPACE) if plain else piece.encode().decode("latin-1").translate(LETTERS)
-                ids = known[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        if self.kind == "blank":
+            text = text.lower()
+        ids = known.get(text)  # a unit that is itself a known piece
+        if ids is None:
+            ids = b"".join([known.get(p) or self._piece(p) for p in self._pieces(text)])
+        return ids
 
     def _learn(self) -> None:
         waiting, self.units.waiting = self.units.waiting, []
