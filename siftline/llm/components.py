@@ -25,15 +25,16 @@ def star_roots(links: DataFrame) -> DataFrame:
     known = _checksum(edges)
     while known[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large-stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        new = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "small-stars")
+        # the minima are written before they are joined: with a plain exchange on either side, Spark can split
+        # the partition of a node that has very many neighbours
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u"), F.least("u", "m").alias("m")), "least")
+        large = written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-stars")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        new = written(small.union(lower.select("u", F.col("m").alias("v"))).distinct(), "small-stars")
         now = _checksum(new)
-        drop_scratch(large)
-        drop_scratch(edges)
+        for old in (least, large, lower, edges):
+            drop_scratch(old)
         edges = new
         if now == known:
             break
