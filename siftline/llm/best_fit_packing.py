@@ -24,6 +24,8 @@ from siftline.llm.tokens import encoder
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED_ARROW = PIECE_ARROW.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
+#: Bound of a worker's memo of token units; about 60 MB.
+MEMO_UNITS = 150_000
 #: Bits of a rank in the search key (length, rank).
 RANK_BITS = 48
 
@@ -109,7 +111,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     """One row per piece of a document's ids. A null text counts as empty; repeated rows stay repeated."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, "blank")
+        enc = encoder(tokenizer_path, "blank", MEMO_UNITS)
         for batch in slices(batches):
             ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(counts)

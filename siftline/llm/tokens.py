@@ -176,9 +176,9 @@ class TextEncoder:
 _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
-def encoder(path: str, kind: str) -> TextEncoder:
-    """One encoder for each worker process and vocabulary."""
-    key = (path, kind)
+def encoder(path: str, kind: str, max_units: int = 300_000) -> TextEncoder:
+    """One encoder for each worker process, vocabulary and bound of its memo."""
+    key = (path, kind, max_units)
     if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(path, kind)
+        _ENCODERS[key] = TextEncoder(*key)
     return _ENCODERS[key]
