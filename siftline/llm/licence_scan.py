@@ -1,9 +1,11 @@
 """Licence families of paragraphs, in DataFrame expressions only.
 
-Every line of a text is a paragraph. A multinomial logistic regression over hashed word 1- to 3-grams, with
-a class for unknown text, is fitted here on sentences varied from the templates below and on prose that only
-mentions licences; a temperature fitted on other such sentences calibrates it. A prediction holds if it is
-likely enough and a template of its family confirms it: enough of the template's 3-grams are in the paragraph.
+A paragraph is a run of lines between lines without a letter or digit. Notices are wrapped at any width and stand
+beside other text, so a paragraph is scored in windows: from each line on, one line, two and so on, until the lines
+after the first hold as many words as the longest template needs. A multinomial logistic regression over hashed word
+1- to 3-grams, with a class for unknown text, is fitted here on sentences varied from the templates below and on prose
+that only mentions licences; a temperature fitted on other such sentences calibrates it. A prediction holds if it is
+likely enough and a template of its family confirms it: enough of the template's 3-grams are in the window.
 """
 
 from __future__ import annotations
@@ -18,11 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import let
+from siftline.llm.common import SPACES, let
 
 BUCKETS, SEED = 1 << 12, 42
 WORD = r"[a-z0-9+]+(?:[.-][a-z0-9]+)*"
-#: A paragraph with none of these stems is unknown text; so one look at a text spares most of them.
+#: A window with none of these stems is unknown text; so one look at a text spares most of them.
 STEMS = ("licens", "licenc", "copyright", "spdx", "redistribut", "warrant", "public domain", "creative commons", "cc by", "cc-by", "cc0", "gpl", "permission is hereby", "all rights reserved")
 #: The notices' own words, by family.
 TEMPLATES = {
@@ -50,12 +52,18 @@ PROSE = (
     "poetic license allows the writer much", "the city issued a new liquor license to the bar", "general public opinion about the free software foundation changed", "the copyright office closed at noon", "software and documentation files were lost", "which license should one choose for a library", "the apache helicopter and the mit campus",
 )
 LIMITS = {"likely": 0.5, "confirmed": 0.6}
+#: What stands around a line's words where a notice is a comment.
+MARGIN = " \t\r\x0b\x0c*#/;>|%-"
 
 
 def tokens(line: str) -> list[str]:
     return re.findall(WORD, line.lower())
 
 
+#: Words after a window's first line: the longest template and some that a notice adds to it, as (the "Software").
+REACH = max(len(tokens(t)) for ts in TEMPLATES.values() for t in ts) + 8
+
+
 def hashed(gram: str) -> int:
     h = xxhash.xxh64_intdigest(gram.encode(), SEED)
     return h - (1 << 64) if h >> 63 else h
@@ -167,16 +175,30 @@ def paragraph_verdict(line: Column, limits: dict) -> Column:
     return let(F.regexp_extract_all(F.lower(line), F.lit(f"({WORD})"), F.lit(1)), of_words)
 
 
+def windows_from(lines: Column) -> Column:
+    """The first line, the first two and so on, joined by blanks, until the lines after the first hold REACH words."""
+    none = F.struct(F.lit("").alias("text"), F.lit(-1).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def grow(held: Column, line: Column) -> Column:
+        text = F.when(held["n"] < 0, line).otherwise(F.concat(held["text"], F.lit(" "), line))
+        n = F.when(held["n"] < 0, 0).otherwise(held["n"] + F.size(F.split(line, SPACES)))
+        longer = F.struct(text.alias("text"), n.alias("n"), F.concat(held["out"], F.array(text)).alias("out"))
+        return F.when(held["n"] >= REACH, held).otherwise(longer)
+
+    return F.aggregate(lines, none, grow, lambda held: held["out"])
+
+
 def scan_licences(docs: DataFrame, limits: dict | None = None) -> DataFrame:
-    """One row per document: doc_id, n_paragraphs (lines with a word), n_candidates (with a stem), n_licensed
-    (predicted and confirmed), families (distinct, sorted, comma-joined), licence (family of the likeliest
-    confirmed paragraph, the first of equals; "unknown" without one), probability (of it; 0 without one).
+    """One row per document: doc_id, n_paragraphs (with a word), n_candidates (with a stem), n_licensed (with a
+    window predicted and confirmed), families (distinct, sorted, comma-joined), licence (family of the likeliest
+    confirmed window, the first of equals; "unknown" without one), probability (of it; 0 without one).
 
     A null text counts as empty: no paragraphs, unknown. Rows are scanned one by one, so repeated rows stay
     repeated and nothing is shuffled; whole texts are read; other columns are not.
     """
     lim = LIMITS | (limits or {})
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    empty = F.array().cast("array<struct<kind:int,p:double,share:double>>")
 
     def has_stem(s: Column) -> Column:
         out = F.lit(False)
@@ -184,25 +206,45 @@ def scan_licences(docs: DataFrame, limits: dict | None = None) -> DataFrame:
             out = out | F.contains(s, F.lit(stem))
         return out
 
+    def of_paragraph(lines: Column) -> Column:
+        """Whether a stem is in the paragraph, and its confirmed windows."""
+        # a stem of several words may begin on one line and end on the next ones
+        near = F.transform(lines, lambda s, i: has_stem(F.concat_ws(" ", s, F.get(lines, i + 1), F.get(lines, i + 2))))
+
+        def of_near(flags: Column) -> Column:
+            starts = F.filter(F.transform(flags, lambda _, i: i), lambda i: F.exists(F.slice(flags, i + 1, REACH + 1), lambda x: x))
+            windows = F.flatten(F.transform(starts, lambda i: windows_from(F.slice(lines, i + 1, REACH + 1))))
+            found = F.transform(F.filter(windows, has_stem), lambda s: paragraph_verdict(s, lim))
+            sure = F.filter(found, lambda v: (v["kind"] > 0) & (v["p"] >= lim["likely"]) & (v["share"] >= lim["confirmed"]))
+            return F.struct(F.exists(flags, lambda x: x).alias("c"), F.when(F.exists(flags, lambda x: x), sure).otherwise(empty).alias("sure"))
+
+        return let(near, of_near)
+
     def of_text(t: Column) -> Column:
-        lines = F.filter(F.split(t, "\n"), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")))
+        # the class takes in line ends, so one match is a whole run of lines without a letter or digit
+        paragraphs = F.filter(F.split(t, r"\n[^\p{L}\p{N}]*\n"), lambda s: F.rlike(s, F.lit(r"[^\x20\x09-\x0D]")))
 
-        def of_lines(all_lines: Column) -> Column:
-            some = F.filter(all_lines, lambda s: has_stem(F.lower(s)))
+        def of_paragraphs(some: Column) -> Column:
+            lines = F.transform(some, lambda s: F.filter(F.transform(F.split(s, "\n"), lambda x: F.btrim(x, F.lit(MARGIN))), lambda x: x != ""))
 
-            def of_some(candidates: Column) -> Column:
-                found = F.transform(candidates, lambda s: paragraph_verdict(s, lim))
-                sure = F.filter(found, lambda v: (v["kind"] > 0) & (v["p"] >= lim["likely"]) & (v["share"] >= lim["confirmed"]))
-                return F.struct(F.size(all_lines).cast("long").alias("n"), F.size(candidates).cast("long").alias("c"), sure.alias("sure"))
+            def of_found(found: Column) -> Column:
+                return F.struct(
+                    F.size(some).cast("long").alias("n"),
+                    F.size(F.filter(found, lambda v: v["c"])).cast("long").alias("c"),
+                    F.size(F.filter(found, lambda v: F.size(v["sure"]) > 0)).cast("long").alias("licensed"),
+                    F.flatten(F.transform(found, lambda v: v["sure"])).alias("sure"),
+                )
 
-            return let(F.when(has_stem(F.lower(t)), some).otherwise(F.array().cast("array<string>")), of_some)
+            # any stem's first word: one look at the text, whatever its line ends
+            first = F.rlike(t, F.lit("|".join(sorted({s.split()[0] for s in STEMS}))))
+            return let(F.when(first, F.transform(lines, of_paragraph)).otherwise(F.array().cast("array<struct<c:boolean,sure:array<struct<kind:int,p:double,share:double>>>>")), of_found)
 
-        return let(lines, of_lines)
+        return let(paragraphs, of_paragraphs)
 
     names = F.array(*(F.lit(f) for f in ("unknown", *FAMILIES)))
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), let(text, of_text).alias("v"))
     best = F.array_max(F.transform(F.col("v.sure"), lambda s: s["p"]))
     first = F.get(F.filter(F.col("v.sure"), lambda s: s["p"] == best), F.lit(0))
-    out = out.select("doc_id", F.col("v.n").alias("n_paragraphs"), F.col("v.c").alias("n_candidates"), F.size("v.sure").cast("long").alias("n_licensed"), F.col("v.sure").alias("sure"), first.alias("first"))
+    out = out.select("doc_id", F.col("v.n").alias("n_paragraphs"), F.col("v.c").alias("n_candidates"), F.col("v.licensed").alias("n_licensed"), F.col("v.sure").alias("sure"), first.alias("first"))
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("sure", lambda s: F.get(names, s["kind"])))), ",")
     return out.select("doc_id", "n_paragraphs", "n_candidates", "n_licensed", families.alias("families"), F.coalesce(F.get(names, F.col("first.kind")), F.lit("unknown")).alias("licence"), F.coalesce(F.col("first.p"), F.lit(0.0)).alias("probability"))

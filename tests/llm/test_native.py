@@ -165,6 +165,22 @@ def test_licence_classifier_held_out():
     assert (guess == y).mean() > 0.95
 
 
+WRAPPED = {
+    "mit": "The software\n\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the \"Software\"), to deal\n * in the Software without restriction, including without limitation the rights\n * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice\n",
+    "gpl-3.0": "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n",
+}
+
+
+def test_licences_of_wrapped_notices(spark):
+    narrow = {f: "\n".join(re.sub(r"((?:\S+ ){4})", r"\1\n", line) for line in t.split("\n")) for f, t in WRAPPED.items()}
+    rows = [(f, k, t) for k, texts in enumerate((WRAPPED, narrow, {f: "before it\n" + t + "after it" for f, t in WRAPPED.items()})) for f, t in texts.items()]
+    got = L.scan_licences(spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {(rows[r.doc_id][:2], r.licence) for r in got} == {((f, k), f) for f, k, _ in rows}
+    assert all(r.n_licensed == 1 for r in got)
+
+
 def test_licences_of_odd_documents(spark, odd, empty):
     got = L.scan_licences(odd).collect()
     assert len(got) == len(odd_rows())
