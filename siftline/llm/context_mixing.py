@@ -1,13 +1,12 @@
-"""Text scores by logistic context mixing over the bits of words.
+"""Text scores by logistic context mixing over the bits of a text.
 
 A text is its words, A-Z in lower case, each followed by a blank, and an end mark (a blank where a word
-would begin). Bits are predicted one after the other by hashed contexts of the word so far: its last one
-to four bytes and its whole beginning, each with the bits of the current byte that are known. A context
-holds counts of zeros and ones over all training tokens. The predictors' stretched probabilities are
-mixed with weights that a gate chooses by how much the longest contexts have seen; weights learn online,
-each small batch predicted before it is learnt, without its own counts; an adaptive map then refines the
-mixed probability. As contexts don't reach over a blank, a word's probability holds wherever it stands,
-so each distinct word is scored once.
+would begin). Its bits are predicted one after the other by hashed contexts of the text so far: its last one
+to six bytes, blanks and earlier words among them, the beginning of the word, and that beginning with the
+whole word before, each with the bits of the current byte that are known. A context holds counts of zeros
+and ones over all training documents. The predictors' stretched probabilities are mixed with weights that a
+gate chooses by how much two of the contexts have seen; weights learn online, each small batch predicted
+before it is learnt, without its own counts; an adaptive map then refines the mixed probability.
 """
 
 from __future__ import annotations
@@ -24,8 +23,10 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import slices, table, written
 
-#: Bits of each predictor's table: contexts of 1, 2, 3, 4 bytes and of the whole beginning of the word.
-TABLE_BITS = (16, 20, 20, 20, 22)
+#: Bits of each predictor's table: the last 1, 2, 3, 4 bytes, the word's beginning, the last 5 and 6 bytes, the word before and the word's beginning.
+TABLE_BITS = (16, 20, 20, 20, 22, 21, 21, 22)
+ORDERS = {1: 0, 2: 1, 3: 2, 4: 3, 5: 5, 6: 6}
+PIECE = 1 << 16
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 CHUNK = 1 << 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -50,30 +51,61 @@ def _spread(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def contexts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the words with a blank after each; for each byte its word and the hashes of its contexts (predictors x bytes)."""
-    raw = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
-    lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    word = np.repeat(np.arange(len(words)), lens)
-    begin = np.repeat(np.cumsum(lens) - lens, lens)
-    place = np.arange(len(raw)) - begin
+def stream(text: bytes | None) -> bytes:
+    """The words with a blank after each; :func:`contexts` adds the end mark."""
+    return b" ".join([*(text or b"").lower().split(), b""])
+
+
+def pieces(text: bytes, limit: int = PIECE) -> Iterator[tuple[bytes, int]]:
+    """A stream cut after blanks, and the bytes of each piece that only lead to it: all that contexts reach back to.
+
+    All but the last piece end in a blank that :func:`contexts` would add, so it is left off.
+    """
+    at = lead = 0
+    while (cut := text.find(b" ", at + limit) + 1) and cut < len(text):
+        yield text[lead : cut - 1], at - lead
+        at, lead = cut, max(0, min(text.rfind(b" ", 0, cut - 1) + 1, cut - max(ORDERS)))
+    yield text[lead:], at - lead
+
+
+def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the texts with a blank after each; for each byte its text and the hashes of its contexts (predictors x bytes)."""
+    raw = np.frombuffer(b"".join(w + b" " for w in texts), np.uint8)
+    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    word = np.repeat(np.arange(len(texts)), lens)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(lens) - lens, lens)
     value = raw.astype(np.uint64) + np.uint64(1)
     out = np.zeros((len(TABLE_BITS), len(raw)), np.uint64)
     last = np.zeros(len(raw), np.uint64)
-    for k in range(1, 5):  # the byte k places before, 0 before the word's beginning
+    for k, o in ORDERS.items():  # the byte k places before, 0 before the text's beginning
         before = np.zeros(len(raw), np.uint64)
         before[k:] = value[:-k]
         before[place < k] = 0
         last = last * np.uint64(257) + before
-        out[k - 1] = _spread(last * PRIME + np.uint64(k))
-    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(lens.max(initial=1)), PRIME | np.uint64(1))]))
+        out[o] = _spread(last * PRIME + np.uint64(k))
+    first = place == 0
+    first[1:] |= raw[:-1] == BLANK
+    begins = np.flatnonzero(first)
+    number = np.cumsum(first) - 1
+    inside = np.arange(len(raw)) - begins[number]
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(inside.max(initial=0)), PRIME | np.uint64(1))]))
     # whole beginning: sum of byte * PRIME^(place), taken from running sums within the batch
-    terms = value * power[place]
+    terms = value * power[inside]
     sums = np.cumsum(terms, dtype=np.uint64) - terms
-    out[4] = _spread((sums - sums[begin]) * PRIME + np.uint64(5) + place.astype(np.uint64))
+    beginning = (sums - sums[begins[number]]) * PRIME + np.uint64(5) + inside.astype(np.uint64)
+    out[4] = _spread(beginning)
+    whole = np.add.reduceat(terms, begins) if len(raw) else terms
+    before = np.concatenate([np.zeros(1, np.uint64), _spread(whole * PRIME + np.uint64(8))])[:-1]
+    before[place[begins] == 0] = 0
+    out[7] = _spread(_spread(beginning) * PRIME + before[number] + np.uint64(7))
     return raw, word, out
 
 
+def _owned(texts: list[bytes], leads: np.ndarray) -> np.ndarray:
+    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    return np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) >= np.repeat(leads, lens)
+
+
 def bit_slots(raw: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each of the 8 bits: the bit's number, the bits themselves, and slots in the joint table (predictors x bytes)."""
     known = np.ones(len(raw), np.uint64)
@@ -86,10 +118,13 @@ def bit_slots(raw: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarra
         known = known * np.uint64(2) + bit
 
 
-def count_bits(words: list[bytes], weight: np.ndarray, counts: np.ndarray) -> None:
-    """Add the words' bits, ``weight`` times each, to counts (2 x all slots)."""
-    raw, word, ctx = contexts(words)
+def count_bits(texts: list[bytes], weight: np.ndarray, counts: np.ndarray, leads: np.ndarray | None = None) -> None:
+    """Add the texts' bits, ``weight`` times each, to counts (2 x all slots); leading bytes are context only."""
+    raw, word, ctx = contexts(texts)
     w = weight[word]
+    if leads is not None and leads.any():
+        own = _owned(texts, leads)
+        raw, w, ctx = raw[own], w[own], ctx[:, own]
     for _, bit, slots in bit_slots(raw, ctx):
         for y in (0, 1):
             here = bit == y
@@ -110,7 +145,7 @@ class BitMixer:
     @classmethod
     def fresh(cls, counts: np.ndarray) -> BitMixer:
         grid = squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0)
-        return cls(counts, np.full((GATES, len(TABLE_BITS)), 0.3), np.tile(grid, (8, 8, 1)))
+        return cls(counts, np.full((GATES, len(TABLE_BITS)), 1.5 / len(TABLE_BITS)), np.tile(grid, (8, 8, 1)))
 
     def _parts(self, bit: np.ndarray, slots: np.ndarray, own: float):
         """Stretched predictions and gates, without ``own`` counts of the bit itself."""
@@ -135,9 +170,12 @@ class BitMixer:
         p = np.where(np.abs(x) < 7, (mixed + fine) / 2, mixed)
         return x, np.clip(p, 1e-9, 1 - 1e-9), low, part
 
-    def learn(self, words: list[bytes]) -> float:
-        """Predict the words, then learn from them; the bits they cost."""
-        raw, _, ctx = contexts(words)
+    def learn(self, texts: list[bytes], leads: np.ndarray | None = None) -> float:
+        """Predict the texts, then learn from them; the bits they cost."""
+        raw, _, ctx = contexts(texts)
+        if leads is not None and leads.any():
+            own = _owned(texts, leads)
+            raw, ctx = raw[own], ctx[:, own]
         cost = 0.0
         for k, bit, slots in bit_slots(raw, ctx):
             st, gate, seen = self._parts(bit, slots, 1.0)
@@ -155,26 +193,36 @@ class BitMixer:
                 self.refine[k] += (y - self.refine[k]) * (1 - (1 - self.refine_rate) ** n)
         return cost
 
-    def log10(self, words: list[bytes], batch_bytes: int = 1 << 17) -> np.ndarray:
-        """log10 of each word's probability, blank included."""
-        out = np.zeros(len(words))
-        a = held = 0
-        for i in range(len(words) + 1):
-            if i == len(words) or (held and held + len(words[i]) > batch_bytes):
-                if i > a:
-                    raw, word, ctx = contexts(words[a:i])
-                    cost = np.zeros(len(raw))
-                    for k, bit, slots in bit_slots(raw, ctx):
-                        st, gate, seen = self._parts(bit, slots, 0.0)
-                        p = self._mix(k, st, gate, seen)[1]
-                        cost += np.log10(np.where(bit == 1, p, 1 - p))
-                    out[a:i] = np.bincount(word, weights=cost, minlength=i - a)
-                a, held = i, 0
-            if i < len(words):
-                held += len(words[i]) + 1
+    def log10(self, texts: list[bytes], batch_bytes: int = 1 << 16) -> np.ndarray:
+        """log10 of each text's probability, the blank after it included."""
+        out = np.zeros(len(texts))
+        for of, some, leads in batched(texts, batch_bytes):
+            raw, word, ctx = contexts(some)
+            cost = np.zeros(len(raw))
+            for k, bit, slots in bit_slots(raw, ctx):
+                st, gate, seen = self._parts(bit, slots, 0.0)
+                p = self._mix(k, st, gate, seen)[1]
+                cost += np.log10(np.where(bit == 1, p, 1 - p))
+            np.add.at(out, of[word], np.where(_owned(some, leads), cost, 0.0))
         return out
 
 
+def batched(texts: list[bytes], batch_bytes: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
+    """Pieces of about ``batch_bytes`` together: the texts' numbers, the pieces, the bytes that only lead."""
+    of, some, leads, held = [], [], [], 0
+    for i, text in enumerate(texts):
+        for piece, lead in pieces(text, max(batch_bytes, 1 << 10)):
+            if held and held + len(piece) > batch_bytes:
+                yield np.array(of), some, np.array(leads)
+                of, some, leads, held = [], [], [], 0
+            of.append(i)
+            some.append(piece)
+            leads.append(lead)
+            held += len(piece) + 1
+    if some:
+        yield np.array(of), some, np.array(leads)
+
+
 def remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 
@@ -208,57 +256,83 @@ def count_words(docs: DataFrame, modulus: int, held: int, flush: int = 400_000)
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def gather_counts(vocabulary: DataFrame, tasks: int = 64) -> np.ndarray:
-    """Bit counts of all contexts over all training tokens.
+def _streams(batches: Iterator[pa.RecordBatch], modulus: int, held: int) -> Iterator[list[bytes]]:
+    """Streams of the training documents of each batch."""
+    for batch in slices(batches):
+        docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+        yield [stream(t) for d, t in zip(docs_, texts, strict=True) if remainder(d, modulus) != held]
+
 
-    Each task counts its words into tables of fixed size, the tables' chunks are added up by chunk, and the
-    driver gets one table: ``8 * OFFSETS[-1]`` bytes, whatever the corpus.
+def gather_counts(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
+    """Bit counts of all contexts over all training documents.
+
+    Each task counts its documents into tables of fixed size, the tables' chunks are added up by chunk as
+    integers, and the driver gets one table: ``8 * OFFSETS[-1]`` bytes, whatever the corpus. Two tasks for
+    each core, so that what they write is bounded too.
     """
     n_chunks = -(-int(OFFSETS[-1]) // CHUNK)
     schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, n_chunks * CHUNK), np.float32)
-        some = False
-        for batch in slices(batches, "word", 1 << 18):
-            some = True
-            view = counts[:, : OFFSETS[-1]]
-            count_bits(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_numpy().astype(np.float64), view)
-        for k in range(n_chunks if some else 0):
+    def chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(n_chunks):
             part = counts[:, k * CHUNK : (k + 1) * CHUNK]
             if part.any():
                 yield table(schema, [k], [np.ascontiguousarray(part).tobytes()])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, size = np.zeros((2, n_chunks * CHUNK), np.int32), 0
+        for texts in _streams(batches, modulus, held):
+            for _, some, leads in batched(texts, PIECE):
+                count_bits(some, np.ones(len(some), np.int32), counts[:, : OFFSETS[-1]], leads)
+                size += sum(map(len, some)) + len(some)
+                if size > 1 << 30:  # before a count can leave 32 bits
+                    yield from chunks(counts)
+                    counts[:], size = 0, 0
+        yield from chunks(counts)
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(data, np.float32)
-                sums[k] = sums[k] + got if k in sums else got.copy()
+                got = np.frombuffer(data, np.int32)
+                sums[k] = sums.get(k, np.zeros(1, np.int64)) + got
         for k, x in sums.items():
-            yield table(schema, [k], [x.tobytes()])
+            yield table(schema, [k], [x.astype(np.float32).tobytes()])
 
-    parts = vocabulary.filter("c > 0").select("word", "c").coalesce(tasks).mapInArrow(count, "chunk int, counts binary")
+    parts = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "chunk int, counts binary")
     counts = np.zeros((2, n_chunks * CHUNK), np.float32)
     for r in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] += np.frombuffer(r.counts, np.float32).reshape(2, -1)
+        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.float32).reshape(2, -1)
     return counts[:, : OFFSETS[-1]]
 
 
-def fit_mixer(vocabulary: DataFrame, tokens: int, sample: int = 40_000, batch: int = 32) -> BitMixer:
-    """Counts from all training tokens; weights and map online over a sample of about ``sample`` training tokens.
+def fit_mixer(docs: DataFrame, modulus: int, held: int, tokens: int, sample: int = 40_000, batch: int = 1 << 11):
+    """The broadcast counts of all training documents; weights and map learnt online on a sample of about ``sample`` tokens.
 
-    A word is drawn in proportion to its count, by its hash, so the sample is the same wherever the words lie.
+    Each task passes once over its documents in batches of about ``batch`` bytes; the tasks' weights and maps are
+    averaged by the bytes they learnt from.
     """
-    mixer = BitMixer.fresh(gather_counts(vocabulary))
+    counts = docs.sparkSession.sparkContext.broadcast(gather_counts(docs, modulus, held))
+    fresh = BitMixer.fresh(np.zeros((2, 0), np.float32))
+    schema = pa.schema([("n", pa.int64()), ("weights", pa.binary()), ("refine", pa.binary())])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = BitMixer.fresh(counts.value), 0
+        for texts in _streams(batches, modulus, held):
+            for _, some, leads in batched(texts, batch):
+                own.learn(some, leads)
+                n += sum(map(len, some)) + len(some) - int(leads.sum())
+        if n:
+            yield table(schema, [n], [own.weights.tobytes()], [own.refine.tobytes()])
+
     share = min(1.0, sample / max(1, tokens))
-    draws = F.floor(F.col("c") * share + F.pmod(F.xxhash64("word"), F.lit(1_000_003)) / 1_000_003)
-    rows = vocabulary.filter("c > 0").select("word", F.least(draws, F.lit(sample)).cast("int").alias("m")).filter("m > 0").collect()
-    drawn = sorted(r.word for r in rows for _ in range(r.m))
-    np.random.default_rng(5).shuffle(drawn)
-    for i in range(0, len(drawn), batch):
-        mixer.learn([w.encode() for w in drawn[i : i + batch]])
-    return mixer
+    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    parts = drawn.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, "n long, weights binary, refine binary").collect()
+    if not parts:
+        return counts, fresh.weights, fresh.refine
+    share = np.array([r.n for r in parts]) / sum(r.n for r in parts)
+    weights, refine = (np.tensordot(share, [np.frombuffer(r[k]).reshape(x.shape) for r in parts], 1) for k, x in (("weights", fresh.weights), ("refine", fresh.refine)))
+    return counts, weights, refine
 
 
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 16) -> DataFrame:
@@ -266,7 +340,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
 
     Learns from documents whose crc32(doc_id as text) mod ``modulus`` is not ``held`` (a null id counts as
     empty text). base_score adds log10((c+1)/(N+V+1)) over words and end mark; score is the mixed model's log10
-    probability. A null text counts as empty: its end mark is its only token. Repeated rows are scored each,
+    probability of the text as a stream. A null text counts as empty: its end mark is its only token. Repeated rows are scored each,
     an empty table gives an empty result, and a word of any length is one word.
 
     The ``hot_words`` most frequent words travel to all tasks as one bounded table, so a frequent word never
@@ -275,32 +349,26 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
     spark: SparkSession = docs.sparkSession
     vocabulary = written(count_words(docs, modulus, held), "words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    mixer = fit_mixer(vocabulary, tokens)
-    model = spark.sparkContext.broadcast((mixer.counts, mixer.weights, mixer.refine))
-    scored_schema = pa.schema([("word", pa.string()), ("c", pa.int64()), ("n", pa.int64()), ("lp", pa.float64())])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = BitMixer(*model.value)
-        for batch in slices(batches, "word", 1 << 20):
-            yield table(scored_schema, *batch.columns, own.log10(batch.column(0).cast(pa.binary()).to_pylist()))
-
-    scored = written(vocabulary.select("word", "c", "n").mapInArrow(score, "word string, c long, n long, lp double"), "scored-words")
-    top = scored.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
-    hot = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["c"].to_numpy(), top["lp"].to_numpy()))
+    plain_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    counts, weights, refine = fit_mixer(plain_docs, modulus, held, tokens)
+    top = vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
+    hot = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["c"].to_numpy()))
     # a row for each document with its hot words' sums (its key holds a blank, so no word), and one for each other word of it
     line = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("bytes", pa.int64())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, c, lp = hot.value
+        names, c = hot.value
+        mixer = BitMixer(counts.value, weights, refine)
         number = {w: i for i, w in enumerate(names)}
         logc, known = np.log10(c + 1.0), (c > 0).astype(np.int64)
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             rows, words, times = [], [], []
-            for doc, text in zip(docs_, texts, strict=True):
+            scores = mixer.log10([stream(t) for t in texts])
+            for doc, text, lm in zip(docs_, texts, scores.tolist(), strict=True):
                 tokens_ = Counter((text or b"").lower().split())
                 tokens_[b""] += 1
                 at, n = [], []
@@ -318,22 +386,22 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
                 at, n = np.array(at, np.int64), np.array(n, np.int64)
                 rows.append(row)
                 words.append(b" %d" % row)
-                times.append((doc, size, int(known[at] @ n), float(logc[at] @ n), float(lp[at] @ n), length))
+                times.append((doc, size, int(known[at] @ n), float(logc[at] @ n), lm, length))
                 row += 1
             plain = [isinstance(t, int) for t in times]
             cols = [[None if p else t[k] for p, t in zip(plain, times, strict=True)] for k in range(6)]
             cols[1] = [t if p else t[1] for p, t in zip(plain, times, strict=True)]
             yield table(line, rows, cols[0], pa.array(words, pa.binary()).cast(pa.string()), *cols[1:])
 
-    lines = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look_up, "row long, doc_id long, word string, times long, known long, base double, lm double, bytes long")
-    joined = lines.join(scored.select("word", "c", "lp"), "word", "left")
+    lines = plain_docs.mapInArrow(look_up, "row long, doc_id long, word string, times long, known long, base double, lm double, bytes long")
+    joined = lines.join(vocabulary.select("word", "c"), "word", "left")
     head = F.startswith("word", F.lit(" "))
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.sum(F.when(head, F.col("times"))).alias("n_tokens"),
         F.sum(F.when(head, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
         F.sum(F.when(head, F.col("base")).otherwise(F.log10(F.col("c") + 1) * F.col("times"))).alias("base"),
-        F.sum(F.when(head, F.col("lm")).otherwise(F.col("lp") * F.col("times"))).alias("score"),
+        F.sum("lm").alias("score"),
         F.sum("bytes").alias("n_bytes"),
     )
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")

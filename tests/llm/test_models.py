@@ -170,6 +170,39 @@ def test_probabilities_sum_to_one(mixer):
         assert 0.9 < sum(math.exp(x) for x in base.values()) <= 1 + 1e-9, blanks
 
 
+def test_contexts_reach_over_blanks():
+    text = M.stream(b"one two three " * 30)
+    raw, _, ctx = M.contexts([text])
+    for i in (20, 25, len(raw) - 8):
+        for k, o in M.ORDERS.items():
+            same = [j for j in range(k, len(raw)) if raw[j - k : j].tobytes() == raw[i - k : i].tobytes()]
+            assert [j for j in range(k, len(raw)) if ctx[o, j] == ctx[o, i]] == same
+    begins = [0] + [j + 1 for j in range(len(raw) - 1) if raw[j] == 0x20]
+    pair = lambda j: (lambda n: (raw[begins[n - 1] : begins[n]].tobytes() if n else b"", raw[begins[n] : j].tobytes()))(max(n for n, b in enumerate(begins) if b <= j))
+    pairs = [pair(j) for j in range(len(raw))]
+    assert len(set(pairs)) == len(set(ctx[7].tolist())) == len(set(zip(pairs, ctx[7].tolist(), strict=True)))
+
+
+def test_pieces_score_as_the_whole(mixer):
+    text = M.stream(b"the zebra a then there x " * 400)
+    assert len(list(M.pieces(text, 1 << 10))) > 5
+    assert mixer.log10([text], batch_bytes=1 << 10) == pytest.approx(mixer.log10([text], batch_bytes=1 << 20), rel=1e-12)
+
+
+def test_order_of_words_counts(spark):
+    r = random.Random(5)
+    words = [f"w{i:02d}" for i in range(60)]
+    body = " ".join(r.choice(words) for _ in range(300))
+    mixed = body.split()
+    r.shuffle(mixed)
+    train = [(i, body) for i in range(40)]
+    probe = next(i for i in range(1000, 2000) if M.remainder(i, 7) == 2)
+    other = next(i for i in range(probe + 1, 3000) if M.remainder(i, 7) == 2)
+    docs = spark.createDataFrame([*train, (probe, body), (other, " ".join(mixed))], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in M.score_texts(docs).collect()}
+    assert score[probe] > score[other] * 0.8
+
+
 def check_scores(docs, modulus=7, held=2):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
