@@ -306,8 +306,8 @@ def gather_counts(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
     return counts[:, : OFFSETS[-1]]
 
 
-def fit_mixer(docs: DataFrame, modulus: int, held: int, tokens: int, sample: int = 40_000, batch: int = 1 << 11):
-    """The broadcast counts of all training documents; weights and map learnt online on a sample of about ``sample`` tokens.
+def fit_mixer(docs: DataFrame, modulus: int, held: int, batch: int = 1 << 11):
+    """The broadcast counts of all training documents; weights and map learnt online over all their tokens.
 
     Each task passes once over its documents in batches of about ``batch`` bytes; the tasks' weights and maps are
     averaged by the bytes they learnt from.
@@ -325,9 +325,7 @@ def fit_mixer(docs: DataFrame, modulus: int, held: int, tokens: int, sample: int
         if n:
             yield table(schema, [n], [own.weights.tobytes()], [own.refine.tobytes()])
 
-    share = min(1.0, sample / max(1, tokens))
-    drawn = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
-    parts = drawn.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, "n long, weights binary, refine binary").collect()
+    parts = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, "n long, weights binary, refine binary").collect()
     if not parts:
         return counts, fresh.weights, fresh.refine
     share = np.array([r.n for r in parts]) / sum(r.n for r in parts)
@@ -350,7 +348,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
     vocabulary = written(count_words(docs, modulus, held), "words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     plain_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts, weights, refine = fit_mixer(plain_docs, modulus, held, tokens)
+    counts, weights, refine = fit_mixer(plain_docs, modulus, held)
     top = vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     hot = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["c"].to_numpy()))
     # a row for each document with its hot words' sums (its key holds a blank, so no word), and one for each other word of it

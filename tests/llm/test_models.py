@@ -203,6 +203,20 @@ def test_order_of_words_counts(spark):
     assert score[probe] > score[other] * 0.8
 
 
+def test_weights_learn_from_all_training_tokens(spark):
+    r = random.Random(8)
+    words = ["".join(r.choice("abcde") for _ in range(2)) for _ in range(40)]
+    rows = [(i, " ".join(r.choice(words) for _ in range(2000))) for i in range(36)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
+    counts, weights, refine = M.fit_mixer(docs, 7, 2)
+    plain = M.BitMixer.fresh(counts.value)
+    texts = [M.stream(t.encode()) for i, t in rows if M.remainder(i, 7) != 2]
+    assert sum(len(t.split()) for t in texts) > 40_000
+    for _, some, leads in M.batched(texts, 1 << 11):
+        plain.learn(some, leads)
+    assert weights == pytest.approx(plain.weights) and refine == pytest.approx(plain.refine)
+
+
 def check_scores(docs, modulus=7, held=2):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
