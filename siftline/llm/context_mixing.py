@@ -37,10 +37,6 @@ BUCKETS = 33
 LOG10_2 = float(np.log10(2.0))
 
 
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -154,13 +150,13 @@ class BitMixer:
             n1 = np.maximum(n1 - own * bit, 0)
             n0 = np.maximum(n0 - own * (1 - bit.astype(np.float64)), 0)
         total = n0 + n1
-        st = stretch((n1 + 0.02) / (total + 0.04)) * (total > 0)
+        st = np.log((n1 + 0.02) / (n0 + 0.02))  # 0 where nothing was seen
         seen = np.minimum(np.log2(total[4] + 1), 7).astype(np.int64)
         gate = seen * 4 + np.minimum(np.log2(total[3] + 1) / 2, 3).astype(np.int64)
         return st, gate, seen
 
     def _mix(self, k: int, st: np.ndarray, gate: np.ndarray, seen: np.ndarray):
-        x = np.clip(np.einsum("og,go->g", st, self.weights[gate]), -20, 20)
+        x = np.clip((st * self.weights.T[:, gate]).sum(0), -20, 20)
         place = np.clip(x * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
         low = place.astype(np.int64)
         part = place - low
@@ -182,14 +178,12 @@ class BitMixer:
             x, p, low, part = self._mix(k, st, gate, seen)
             cost -= float(np.log2(np.where(bit == 1, p, 1 - p)).sum())
             err = bit - squash(x)
-            step = np.zeros_like(self.weights)
-            np.add.at(step, gate, (st * err).T)
+            step = np.stack([np.bincount(gate, row, GATES) for row in st * err], 1)
             hits = np.bincount(gate, minlength=GATES)[:, None]
             self.weights += self.rate * step / np.sqrt(np.maximum(hits, 1))
             at = np.where(part < 0.5, low, low + 1)
             for y in (0, 1):
-                n = np.zeros(self.refine.shape[1:])
-                np.add.at(n, (seen[bit == y], at[bit == y]), 1)
+                n = np.bincount(seen[bit == y] * BUCKETS + at[bit == y], minlength=8 * BUCKETS).reshape(8, BUCKETS)
                 self.refine[k] += (y - self.refine[k]) * (1 - (1 - self.refine_rate) ** n)
         return cost
 
@@ -306,7 +300,7 @@ def gather_counts(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
     return counts[:, : OFFSETS[-1]]
 
 
-def fit_mixer(docs: DataFrame, modulus: int, held: int, batch: int = 1 << 11):
+def fit_mixer(docs: DataFrame, modulus: int, held: int, batch: int = 1 << 12):
     """The broadcast counts of all training documents; weights and map learnt online over all their tokens.
 
     Each task passes once over its documents in batches of about ``batch`` bytes; the tasks' weights and maps are

@@ -212,7 +212,7 @@ def test_weights_learn_from_all_training_tokens(spark):
     plain = M.BitMixer.fresh(counts.value)
     texts = [M.stream(t.encode()) for i, t in rows if M.remainder(i, 7) != 2]
     assert sum(len(t.split()) for t in texts) > 40_000
-    for _, some, leads in M.batched(texts, 1 << 11):
+    for _, some, leads in M.batched(texts, 1 << 12):
         plain.learn(some, leads)
     assert weights == pytest.approx(plain.weights) and refine == pytest.approx(plain.refine)
 
