@@ -300,18 +300,27 @@ def gather_counts(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
     return counts[:, : OFFSETS[-1]]
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Compressed: every node keeps broadcast values on its disk, and most slots are empty or hold small counts."""
+    return pa.compress(np.ascontiguousarray(counts), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, 8 * int(OFFSETS[-1]), codec="zstd"), np.float32).reshape(2, -1)
+
+
 def fit_mixer(docs: DataFrame, modulus: int, held: int, batch: int = 1 << 12):
-    """The broadcast counts of all training documents; weights and map learnt online over all their tokens.
+    """The broadcast counts (packed) of all training documents; weights and map learnt online over all their tokens.
 
     Each task passes once over its documents in batches of about ``batch`` bytes; the tasks' weights and maps are
     averaged by the bytes they learnt from.
     """
-    counts = docs.sparkSession.sparkContext.broadcast(gather_counts(docs, modulus, held))
+    counts = docs.sparkSession.sparkContext.broadcast(packed(gather_counts(docs, modulus, held)))
     fresh = BitMixer.fresh(np.zeros((2, 0), np.float32))
     schema = pa.schema([("n", pa.int64()), ("weights", pa.binary()), ("refine", pa.binary())])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = BitMixer.fresh(counts.value), 0
+        own, n = BitMixer.fresh(unpacked(counts.value)), 0
         for texts in _streams(batches, modulus, held):
             for _, some, leads in batched(texts, batch):
                 own.learn(some, leads)
@@ -352,7 +361,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
         from pyspark import TaskContext
 
         names, c = hot.value
-        mixer = BitMixer(counts.value, weights, refine)
+        mixer = BitMixer(unpacked(counts.value), weights, refine)
         number = {w: i for i, w in enumerate(names)}
         logc, known = np.log10(c + 1.0), (c > 0).astype(np.int64)
         row = TaskContext.get().partitionId() << 40

@@ -209,7 +209,7 @@ def test_weights_learn_from_all_training_tokens(spark):
     rows = [(i, " ".join(r.choice(words) for _ in range(2000))) for i in range(36)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
     counts, weights, refine = M.fit_mixer(docs, 7, 2)
-    plain = M.BitMixer.fresh(counts.value)
+    plain = M.BitMixer.fresh(M.unpacked(counts.value))
     texts = [M.stream(t.encode()) for i, t in rows if M.remainder(i, 7) != 2]
     assert sum(len(t.split()) for t in texts) > 40_000
     for _, some, leads in M.batched(texts, 1 << 12):
