@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from siftline.session import ship_package
 
@@ -22,17 +24,45 @@ SLICE_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (a local test session) a temporary folder takes its place.
+    Where that is unset, a temporary folder takes its place in local mode, where all share one machine; on a
+    cluster that would lose what other machines write, so it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='siftline-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        base = _LOCAL.get(app) or _LOCAL.setdefault(app, f"file://{tempfile.mkdtemp(prefix='siftline-')}")
     return base
 
 
+#: Folders of local sessions without a shared one.
+_LOCAL: dict[str, str] = {}
+_MADE: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # what can't be deleted does no harm
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch tables made inside when it ends; what is read later must be written elsewhere."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            delete_path(spark, path)
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -45,13 +75,40 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 def drop_scratch(df: DataFrame) -> None:
     """Delete the table that :func:`written` made; nothing may read it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        with contextlib.suppress(Exception):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        delete_path(df.sparkSession, path)
+
+
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """``name``, with underscores in front until no column is called so."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever signs are in it."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """All columns of docs as they are."""
+    return [F.col(quoted(c)) for c in docs.columns]
+
+
+def with_text(docs: DataFrame, text: Column) -> list[Column]:
+    """All columns of docs with ``text`` for its text, and n_chars, where there is one, renewed where the text is not null."""
+    out = []
+    for c in docs.columns:
+        kind = docs.schema[c].dataType
+        if c.lower() == "text":
+            out.append(text.cast(kind).alias(c))
+        elif c.lower() == "n_chars":
+            out.append(F.when(text.isNull(), F.col(quoted(c))).otherwise(F.length(text).cast(kind)).alias(c))
+        else:
+            out.append(F.col(quoted(c)))
+    return out
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,8 +138,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         n, begin = batch.num_rows, 0
         if not n:
             continue
-        import pyarrow.compute as pc
-
         sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         held = 0
         for i, s in enumerate(sizes):
@@ -93,5 +148,22 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
         yield batch.slice(begin, n - begin)
 
 
+def from_texts(docs: DataFrame, fields: list[StructField], make: Callable[[list[str | None]], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all if None), and ``fields`` that ``make`` computes from slices of whole texts.
+
+    ``fields`` may not have names of kept columns.
+    """
+    kept = docs.columns if keep is None else keep
+    text = fresh("text", [*kept, *(f.name for f in fields)])
+    names = [*kept, *(f.name for f in fields)]
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch.column(len(kept)).to_pylist())], names=names)
+
+    sent = docs.select(*(F.col(quoted(c)) for c in kept), F.col("text").cast("string").alias(text))
+    return sent.mapInArrow(compute, StructType([*(sent.schema[i] for i in range(len(kept))), *fields]))
+
+
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
