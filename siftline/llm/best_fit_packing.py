@@ -24,8 +24,6 @@ from siftline.llm.tokens import encoder
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECE_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PLACED_ARROW = PIECE_ARROW.append(pa.field("sequence_id", pa.int64())).append(pa.field("offset", pa.int64()))
-#: Bound of a worker's memo of token units; about 60 MB.
-MEMO_UNITS = 150_000
 #: Bits of a rank in the search key (length, rank).
 RANK_BITS = 48
 
@@ -111,7 +109,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     """One row per piece of a document's ids. A null text counts as empty; repeated rows stay repeated."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path, "blank", MEMO_UNITS)
+        enc = encoder(tokenizer_path)
         for batch in slices(batches):
             ids, counts = enc.encode([t or "" for t in batch.column(1).to_pylist()])
             ends = np.cumsum(counts)
@@ -123,30 +121,35 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                     for col, x in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
                         col.append(x)
             yield table(PIECE_ARROW, *out)
-        enc.reset()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECE)
 
 
-def pack(pieces: DataFrame, capacity: int, salts: int = 128) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, salt_rows: int = 1 << 19) -> DataFrame:
     """Add sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
-    Pieces of one length are told apart by rank: the counts of (length, salt) give each salt its first
-    rank (at most capacity * salts rows, broadcast), and a window ranks the pieces of one salt.
-    Identical rows may swap places, which no one can tell.
+    Pieces of one length are told apart by rank: a length has a salt for each ``salt_rows`` of its pieces, the counts
+    of (length, salt) give each salt its first rank, and a window ranks the pieces of one salt. Identical rows may
+    swap places, which no one can tell.
     """
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(salts)).cast("int"))
-    counts = written(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
-    histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
+    counts = pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # <= capacity rows
+    histogram = {r.length: r.n for r in counts}
     places = best_fit_decreasing(histogram, capacity)
     order = np.lexsort((places[:, 1], places[:, 0]))
     places = places[order]
     starts = (places[:, 0] << RANK_BITS) + places[:, 1]
 
+    # a hash of a piece modulo its length's number of salts; lengths are whole numbers up to capacity, so an array holds these
+    salts = [1] * (capacity + 1)
+    for length, n in histogram.items():
+        salts[length] = -(-n // salt_rows)
+    mine = F.lit(1) if max(salts) == 1 else F.get(F.from_json(F.lit(str(salts)), "array<int>"), F.col("length").cast("int"))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), mine).cast("int"))
     by_salt = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("length", "salt", F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias("first"))
+    sizes = written(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "packing-counts")
+    first = sizes.select("length", "salt", F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias("first"))
     ranked = pieces.withColumn("k", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")))
-    ranked = ranked.join(F.broadcast(first), ["length", "salt"]).withColumn("rank", F.col("first") + F.col("k") - 1)
+    ranked = ranked.join(first, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("k") - 1)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +166,8 @@ def best_fit_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
     """Pack all documents into sequences of at most ``capacity`` tokens.
 
     docs needs doc_id and text; other columns are not read. A null or empty text is the end id alone.
-    A null doc_id stays null; repeated rows are packed each. An empty table gives an empty result.
+    A null doc_id stays null; repeated rows are packed each; a very long text is cut into pieces as it is read.
+    An empty table gives an empty result.
     Result: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
     return pack(written(cut_documents(docs, tokenizer_path, end_id, capacity), "packing-pieces"), capacity)

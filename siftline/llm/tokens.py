@@ -1,184 +1,217 @@
-"""Whole texts to token ids, with a memo of the units between spaces.
+"""Whole texts to token ids, as the ``tokenizers`` library gives them for a vocabulary file.
 
-Both tokenizers first cut a text into pieces and merge inside a piece only. A *unit* is a stretch of
-text whose pieces don't depend on what stands around it, so equal units have equal ids, and a unit's
-ids are computed once for each worker. Words of natural text repeat, so this is several times faster
-than encoding every text anew, and the ids are the tokenizer's own. Units of common letters go
-straight to the tokenizer's BPE model; all others go through the whole tokenizer.
+Texts of common letters are cut into pieces and merged by a native byte-pair encoder (``tiktoken``) that is given
+the file's merges; all other texts go through the library itself. Both give the same ids: the native encoder joins
+the neighbours whose joined bytes have the least rank, the library those of the merge of least rank, and the two
+can first differ only where a token's bytes stand as two parts that are not its merge. What happens inside those
+bytes up to then is what happens to the token's bytes alone, and these end in the token by its own merge, which
+``consistent`` checks for every token of a vocabulary.
+
+Nothing is remembered from text to text, and long texts are worked off in chunks, so memory is bounded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import regex
 
-#: Blanks outside ASCII, as the tokenizers' regular expressions know them.
-ODD_BLANK = re.compile("[\x85\xa0  -     　]")
-#: Blanks whose presence makes a cut at a space depend on more than the next letter.
-CROWDED = (b"  ", b" \n", b"\n ", b"\t", b"\r", b"\x0b", b"\x0c")
-#: Byte-level: a word with the one space before it; else blanks, of which the last stands alone if a word follows.
-SPACED = re.compile(rb" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-#: ASCII and precomposed Latin letters, about which all Unicode versions agree (U+0130 changes its length in lower case).
-COMMON = re.compile("[\x00-\x7e¡-įı-ɏ]*")
-#: The piece patterns of the two vocabularies, as their files state them.
-PIECES = {
-    "spaced": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"),
-    "blank": regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"),
-}
-
-
-def byte_letters() -> dict[int, int]:
-    """Byte to the letter that stands for it in byte-level vocabularies: visible Latin-1 as it is, the rest from U+0100 on."""
+#: Characters about whose classes and lower case all Unicode versions agree, each its own NFC form and without effect on
+#: its neighbours (so no capital sigma); the blanks among them are ASCII. U+007F is left free as a mark.
+COMMON = re.compile("[\t-\r !-~¡-¬®-įı-ɏЀ-џ‐-‧‰-⁞€™一-龥ぁ-ゖァ-ヺー가-힣、。「」『』（）！？：；，]*")
+#: Those of them that are letters wherever they are not ASCII, so that bytes tell their classes.
+LETTERED = re.compile("[\t-\r !-~À-ÖØ-öø-įı-ɏ]*")
+#: A chunk may begin at such a blank: it begins a piece, whatever stands before it or behind.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+CHUNK = 1 << 16
+#: Longer runs of blanks are too much for the native encoder's regular expressions.
+BLANKS = re.compile(r"\s{4096}")
+TWO_BLANKS = re.compile(r"\s\s")
+MARK = "\x7f"
+#: The piece patterns of the two kinds of files, as the files or the library state them.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+BLANK = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What the patterns take behind an apostrophe, in lower case.
+CONTRACTION = re.compile(rb"'(?:[stmd]|re|ve|ll)")
+#: The same as SPACED in a text without two blanks together.
+SINGLY_SPACED = SPACED.replace(r"\s+(?!\S)|\s+", r"\s")
+
+# classes of bytes: 0 blank, 1 letter, 2 digit (a piece each), 3 any other
+KIND = np.full(256, 3, np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+
+
+def letter_bytes() -> dict[str, int]:
+    """Letter of a byte-level vocabulary to its byte: visible Latin-1 stands for itself, the rest begins at U+0100."""
     seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
     hidden = [b for b in range(256) if b not in seen]
-    return {b: 0x100 + i for i, b in enumerate(hidden)}
-
-
-LETTERS = byte_letters()
-SPACE = chr(LETTERS[0x20])
+    return {chr(b): b for b in seen} | {chr(0x100 + i): b for i, b in enumerate(hidden)}
 
 
-class UnitIds(dict):
-    """Unit to its place in the table; an unknown unit gets the next place and waits to be encoded.
+class Vocabulary:
+    """Ranks of a byte-level BPE file: ``tokens`` in rank order as bytes, and ``ids`` of the ranks.
 
-    Keys are bytes for a unit as a plain split gives it, str for one spelled out.
+    A word's end is a byte of its own, MARK, which occurs in no common text: it joins the word's last byte before all else.
     """
 
-    def __init__(self):
-        super().__init__()
-        self.waiting: list[bytes | str] = []
-
-    def __missing__(self, unit) -> int:
-        self[unit] = at = len(self)
-        self.waiting.append(unit)
-        return at
+    def __init__(self, spec: dict):
+        model, byte = spec["model"], letter_bytes()
+        self.suffix = model.get("end_of_word_suffix") or ""
+
+        def spelled(token: str) -> bytes:
+            end = bool(self.suffix) and token.endswith(self.suffix)
+            return bytes(byte[c] for c in (token[: -len(self.suffix)] if end else token)) + MARK.encode() * end
+
+        self.merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        made = [a + b for a, b in self.merges]
+        bases = sorted(set(model["vocab"]) - set(made) - {t["content"] for t in spec.get("added_tokens", ())}, key=model["vocab"].get)
+        bases.sort(key=lambda t: len(spelled(t)))  # single bytes, then those with a mark
+        self.ids = np.array([model["vocab"][t] for t in (*bases, *made)], np.uint32)
+        self.tokens = [spelled(t) for t in (*bases, *made)]
+        self.pairs = {(spelled(a), spelled(b)): i for i, (a, b) in enumerate(self.merges)}
+        self.n_bases = len(bases)
+
+    def consistent(self) -> bool:
+        """Whether each token has one rank, and its bytes alone are merged to it by the library's rule."""
+        if len(set(self.tokens)) < len(self.tokens) or any(b"".join(p) != self.tokens[self.n_bases + i] for p, i in self.pairs.items()):
+            return False
+        none = len(self.pairs)
+        for token in self.tokens:
+            parts = [token[i : i + 1] for i in range(len(token))]
+            if self.suffix and len(parts) > 1 and token.endswith(MARK.encode()):
+                parts[-2:] = [parts[-2] + parts[-1]]
+            while len(parts) > 1:
+                at = min(range(len(parts) - 1), key=lambda i: self.pairs.get((parts[i], parts[i + 1]), none))
+                if (parts[at], parts[at + 1]) not in self.pairs:
+                    return False
+                parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return True
+
+
+def kind_of(spec: dict) -> str | None:
+    """"spaced" or "blank" for the two kinds of files that the native encoder knows, None for others."""
+    model, pre, normal = spec["model"], spec.get("pre_tokenizer") or {}, spec.get("normalizer")
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    flags = [t for t in spec.get("added_tokens", ()) if t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"]]
+    if model.get("type") != "BPE" or odd or flags or spec.get("post_processor"):
+        return None
+    if not normal and not model.get("end_of_word_suffix") and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]:
+        return "spaced"
+    parts = pre.get("pretokenizers", ())
+    steps = [n.get("type") for n in (normal or {}).get("normalizers", ())]
+    split = parts[0] if len(parts) == 2 else {}
+    plain = len(parts) == 2 and parts[1]["type"] == "ByteLevel" and not parts[1]["use_regex"] and not parts[1]["add_prefix_space"]
+    if plain and model.get("end_of_word_suffix") and steps == ["NFC", "Replace", "Lowercase"] and split.get("pattern") == {"Regex": BLANK} and split.get("behavior") == "Removed" and split.get("invert"):
+        return "blank"
+    return None
+
+
+def chunks(text: str, limit: int = CHUNK) -> Iterator[str]:
+    """The text in parts of about ``limit`` characters that are encoded alone as they are together."""
+    at = 0
+    while len(text) - at > limit and (m := CUT.search(text, at + limit)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+def marked(text: str, pieces: regex.Pattern) -> str:
+    """Lower-case text with a MARK behind every piece."""
+    text = text.lower()
+    if not LETTERED.fullmatch(text):
+        return pieces.sub(rf"\g<0>{MARK}", text)
+    if not text:
+        return ""
+    data = text.encode()
+    raw = np.frombuffer(data, np.uint8)
+    kind = KIND[raw]
+    last = np.ones(len(raw), bool)
+    last[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == 2)
+    last &= kind != 0
+    for m in CONTRACTION.finditer(data):
+        at = m.start()
+        if not at or last[at - 1] or not kind[at - 1]:  # where a piece begins
+            last[at], last[m.end() - 1] = False, True
+    to = np.arange(len(raw)) + np.cumsum(last) - last
+    out = np.full(len(raw) + int(last.sum()), ord(MARK), np.uint8)
+    out[to] = raw
+    return out.tobytes().decode()
 
 
 class TextEncoder:
-    """Encode texts with a ``tokenizers`` file.
-
-    kind "spaced": byte-level vocabularies, where a space belongs to the next word.
-    kind "blank": vocabularies that drop white space and never merge across it.
-    ``max_units`` bounds the memo; a full memo starts anew, which changes no result. Tasks ``reset`` it when
-    they end, so that idle workers hold nothing.
-    """
+    """Ids of texts with ``add_special_tokens=False``; a special token's string in a text is that token, as the library has it."""
 
-    def __init__(self, path: str, kind: str, max_units: int = 300_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.tokenizer.model
-        self.kind, self.max_units = kind, max_units
-        self.pieces = PIECES[kind].findall
-        self.reset()
-
-    def reset(self) -> None:
-        self.units = UnitIds()
-        self.piece_ids: dict[str, bytes] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.begin = np.zeros(1 << 14, np.int64)
-        self.length = np.zeros(1 << 14, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        """What the piece pattern cuts; a word, with a sign after it or without, needs no pattern."""
-        word = text[1:] if self.kind == "spaced" and text[:1] == " " else text
-        if word.isalpha():
-            return [text]
-        if word[:-1].isalpha() and word[-1] in ".,;:!?":
-            return [text[:-1], text[-1]]
-        return self.pieces(text)
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece of common letters, by the model itself."""
-        plain = piece.isascii() and piece.isprintable()
-        spelled = piece.replace(" ", SPACE) if plain else piece.encode().decode("latin-1").translate(LETTERS)
-        ids = self.piece_ids[piece] = array("I", [t.id for t in self.model.tokenize(spelled)]).tobytes()
-        return ids
-
-    def _unit(self, text: str) -> bytes | None:
-        """Ids of a unit of common letters, piece by piece; None for any other unit."""
-        if not text.isascii() and not COMMON.fullmatch(text):
-            return None
-        known = self.piece_ids
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.kind = kind_of(spec)
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        self.added = added
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+        if self.kind:
+            words = Vocabulary(spec)
+            ranks = {t: i for i, t in enumerate(words.tokens)}
+            native = lambda pattern: tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.ids = words.ids
+            if self.kind == "blank":
+                self.pieces, self.native = regex.compile(BLANK), native(rf"[^{MARK}\s]+{MARK}")
+            else:
+                self.singly, self.native = native(SINGLY_SPACED), native(SPACED)
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _chunk(self, text: str) -> np.ndarray:
+        if not COMMON.fullmatch(text):
+            return self._library(text)
         if self.kind == "blank":
-            text = text.lower()
-        ids = known.get(text)  # a unit that is itself a known piece
-        if ids is None:
-            ids = b"".join([known.get(p) or self._piece(p) for p in self._pieces(text)])
-        return ids
-
-    def _learn(self) -> None:
-        waiting, self.units.waiting = self.units.waiting, []
-        if not waiting:
-            return
-        lead = " " if self.kind == "spaced" else ""
-        texts = [u if isinstance(u, str) else lead + u.decode() for u in waiting]
-        got = [self._unit(t) for t in texts]
-        rest = [i for i, x in enumerate(got) if x is None]
-        for i, ids in zip(rest, self._encode([texts[i] for i in rest]) if rest else [], strict=True):
-            got[i] = array("I", ids).tobytes()
-        lens = np.fromiter(map(len, got), np.int64, len(got)) // 4
-        ids = np.frombuffer(b"".join(got), np.uint32)
-        n0, n1 = len(self.units) - len(waiting), len(self.units)
-        if n1 > len(self.begin):
-            self.begin = np.concatenate([self.begin, np.zeros(max(n1, len(self.begin)), np.int64)])
-            self.length = np.concatenate([self.length, np.zeros(max(n1, len(self.length)), np.int64)])
-        if self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(len(ids), len(self.flat)), np.uint32)])
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.length[n0:n1] = lens
-        self.begin[n0:n1] = self.used + np.cumsum(lens) - lens
-        self.used += len(ids)
-
-    def _units(self, text: str) -> list:
-        """The units of a text; the whole text is one where blanks outside ASCII make cuts depend on more."""
-        raw = text.encode()
-        if self.kind == "blank":
-            return raw.split()
-        if not text.isascii() and ODD_BLANK.search(text):
-            return [text]
-        if raw[:1] == b" " or raw[-1:] == b" " or any(x in raw for x in CROWDED):
-            return [u.decode() for u in SPACED.findall(raw)]
-        first, *rest = raw.split(b" ")
-        return [first.decode(), *rest]
+            ranks = self.native(marked(text, self.pieces))
+        elif not TWO_BLANKS.search(text):
+            ranks = self.singly(text)
+        elif BLANKS.search(text):
+            return self._library(text)
+        else:
+            ranks = self.native(text)
+        return self.ids[np.array(ranks, np.int64)]
+
+    def one(self, text: str) -> list[np.ndarray]:
+        """The ids of a text, in parts."""
+        if not self.kind:
+            return [self._library(text)]
+        out = []
+        for k, part in enumerate(self.special.split(text) if self.special else [text]):
+            if k % 2:
+                out.append(np.array([self.added[part]], np.uint32))
+            elif part:
+                out += [self._chunk(c) for c in chunks(part)]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of ids of each text."""
-        if len(self.units) > self.max_units:
-            self.reset()
-        places: list[int] = []
-        n_units = np.zeros(len(texts), np.int64)
-        find = self.units.__getitem__
+        parts, counts = [np.zeros(0, np.uint32)], np.zeros(len(texts), np.int64)
         for i, text in enumerate(texts):
-            before = len(places)
-            places.extend(map(find, self._units(text)))
-            n_units[i] = len(places) - before
-        self._learn()
-        at = np.array(places, np.int64)
-        lens = self.length[at]
-        ends = np.cumsum(lens)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.repeat(self.begin[at] - (ends - lens), lens) + np.arange(total)]
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_units)])]
-        return ids, np.diff(cuts)
-
-
-_ENCODERS: dict[tuple, TextEncoder] = {}
-
-
-def encoder(path: str, kind: str, max_units: int = 300_000) -> TextEncoder:
-    """One encoder for each worker process, vocabulary and bound of its memo."""
-    key = (path, kind, max_units)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(*key)
-    return _ENCODERS[key]
+            got = self.one(text)
+            counts[i] = sum(map(len, got))
+            parts += got
+        return np.concatenate(parts), counts
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
+    """One encoder for each worker process and vocabulary file."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]

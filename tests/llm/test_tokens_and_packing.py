@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -9,19 +10,18 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from siftline.llm.best_fit_packing import RemainderTree, best_fit_decreasing, best_fit_packing
-from siftline.llm.direct_access_codes import DirectCodes, encode_codes, token_id_roundtrip
-from siftline.llm.tokens import TextEncoder
+from siftline.llm.best_fit_packing import RemainderTree, best_fit_decreasing, best_fit_packing, pack
+from siftline.llm.direct_access_codes import DirectCodes, encode_codes, read_tokens, token_id_roundtrip, write_codes
+from siftline.llm.tokens import COMMON, TextEncoder, Vocabulary, chunks, kind_of
 from tests.conftest import SF
 
 FILES = {"blank": public_tokenizers.path("word_bpe_49k.json"), "spaced": public_tokenizers.path("byte_bpe_50k.json")}
-ENCODERS = {kind: TextEncoder(path, kind) for kind, path in FILES.items()}
+ENCODERS = {kind: TextEncoder(path) for kind, path in FILES.items()}
+LIBRARY = {kind: Tokenizer.from_file(path) for kind, path in FILES.items()}
 
 
 def plain(kind: str, texts: list[str]) -> list[list[int]]:
-    t = Tokenizer.from_file(FILES[kind])
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in LIBRARY[kind].encode_batch(texts, add_special_tokens=False)]
 
 
 def check_encoder(kind: str, texts: list[str]) -> None:
@@ -44,10 +44,35 @@ def test_encoder_equals_the_library(kind, texts):
 
 
 @pytest.mark.parametrize("kind", FILES)
-def test_full_memo_starts_anew(kind):
-    e = TextEncoder(FILES[kind], kind, max_units=3)
-    for text in ("one two three four five", "six one two", "one"):
-        assert e.encode([text])[0].tolist() == plain(kind, [text])[0]
+def test_native_encoder_is_the_library(kind):
+    """The file is of a known kind, and its vocabulary meets the condition under which both encoders agree."""
+    with open(FILES[kind], encoding="utf-8") as f:
+        spec = json.load(f)
+    assert kind_of(spec) == kind
+    assert Vocabulary(spec).consistent()
+    spec["model"]["merges"].reverse()
+    assert not Vocabulary(spec).consistent()
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_special_tokens_are_the_librarys(kind):
+    check_encoder(kind, ["hi <|endoftext|> there", "<|endoftext|>", "<|startoftext|><|endoftext|>x", "a<|endoftext|>b <|ENDOFTEXT|>", "é<|endoftext|>\xa0 <|endoftext|", "it's<|endoftext|>'s"])
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_all_common_characters(kind):
+    chars = [c for c in map(chr, range(0x10000)) if COMMON.fullmatch(c)]
+    r = random.Random(2)
+    check_encoder(kind, [*("".join(chars[i : i + 50]) for i in range(0, len(chars), 50)), *("".join(r.choice(chars) + r.choice(["", "a", " ", "'s"]) for _ in range(40)) for _ in range(500))])
+
+
+@pytest.mark.parametrize("kind", FILES)
+def test_long_texts_in_chunks(kind, monkeypatch):
+    monkeypatch.setattr("siftline.llm.tokens.chunks", lambda t: chunks(t, 7))
+    r = random.Random(4)
+    check_encoder(kind, ["".join(r.choice(["ab", "it's", " ", "  ", "\n", "é", "\xa0", "日本", "x.", "12", "̈"]) for _ in range(60)) for _ in range(400)])
+    monkeypatch.undo()
+    check_encoder(kind, ["word and " * 40_000, "x" * 300_000, " " * 200_000 + "a", "a" + "\n" * 9_000 + "b", "日本 語\xa0" * 30_000])
 
 
 @given(st.lists(st.integers(0, 64), max_size=40), st.integers(0, 64))
@@ -111,6 +136,20 @@ def check_packing(rows, texts, capacity):
     assert len(bins) == sum(one_by_one([r.length for r in rows], capacity).values())
 
 
+@pytest.mark.parametrize("salt_rows", [1, 7, 1 << 19])
+def test_packing_by_salts(spark, salt_rows):
+    """However a length's pieces are dealt, the bins are those of one piece after another."""
+    r = random.Random(6)
+    lengths = [r.choice([3, 3, 3, 5, 9, 16, 16, 20]) for _ in range(400)]
+    pieces = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    fill: dict = {}
+    for r_ in pack(pieces, 20, salt_rows).collect():
+        fill.setdefault(r_.sequence_id, []).append((r_.offset, r_.length))
+    for parts in fill.values():
+        assert [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:i]) for i in range(len(parts))]
+    assert Counter(sum(n for _, n in parts) for parts in fill.values()) == one_by_one(lengths, 20)
+
+
 def test_packing_odd_documents(spark, odd, empty):
     check_packing(best_fit_packing(odd, FILES["blank"], capacity=64).collect(), [(r.doc_id, r.text) for r in odd.collect()], 64)
     assert best_fit_packing(empty, FILES["blank"]).collect() == []
@@ -146,13 +185,28 @@ def test_codes_access_far_blocks():
 
 
 def check_roundtrip(rows, texts):
-    order = sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, (x[1] or "").encode()))
-    want, start = [], 0
-    for (doc, _), ids in zip(order, plain("spaced", [t or "" for _, t in order]), strict=True):
+    rows = sorted((tuple(r) for r in rows), key=lambda x: x[1])
+    order = [d for d, *_ in rows]
+    assert order == sorted(order, key=lambda d: (d is not None, d or 0))
+    want = Counter()
+    for (doc, _), ids in zip(texts, plain("spaced", [t or "" for _, t in texts]), strict=True):
         all_ids = np.array([*ids, 2], "<u4")
-        want.append((doc, start, len(all_ids), zlib.crc32(all_ids.tobytes())))
-        start += len(all_ids)
-    assert sorted((tuple(r) for r in rows), key=lambda x: x[1]) == want
+        want[doc, len(all_ids), zlib.crc32(all_ids.tobytes())] += 1
+    assert Counter((d, n, crc) for d, _, n, crc in rows) == want
+    assert [s for _, s, *_ in rows] == (np.cumsum([n for _, _, n, _ in rows]) - [n for _, _, n, _ in rows]).tolist()
+
+
+def test_any_token_by_its_number(spark, tmp_path):
+    texts = [(i, f"text {i} of many words " * (i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    write_codes(docs, f"file://{tmp_path}/codes", FILES["spaced"], shard_tokens=500)
+    ids = [x for row in plain("spaced", [t for _, t in texts]) for x in [*row, 2]]
+    assert spark.read.parquet(f"file://{tmp_path}/codes/index").count() > 4
+    for i in (0, 499, 500, 501, len(ids) // 2, len(ids) - 1):
+        assert read_tokens(spark, f"file://{tmp_path}/codes", i) == [ids[i]]
+    assert read_tokens(spark, f"file://{tmp_path}/codes", 300, 900) == ids[300:1200]
+    with pytest.raises(IndexError):
+        read_tokens(spark, f"file://{tmp_path}/codes", len(ids))
 
 
 def test_roundtrip_odd_documents(spark, odd, empty):
