@@ -31,8 +31,7 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_documents(spark, sf_dir).select("doc_id", "text")
-    return mixing_rates(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text")
+    return mixing_rates(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=["doc_id"])
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
