@@ -1,7 +1,7 @@
 """Personal data: exact base patterns, and a semi-Markov conditional random field that adds spans.
 
-The field reads the tokens around digits, @ and bracketed at/dot. A candidate segment is a run of at most
-``MAX_TOKENS`` tokens with one of the kinds; features look at the whole span (digit count, Luhn, octets,
+A candidate segment is a run of at most ``MAX_TOKENS`` tokens with one of the kinds; it holds an ASCII digit, an @ or
+a bracketed at, so only tokens within reach of one are looked at, as far as a segment can extend. Features look at the whole span (digit count, Luhn, octets,
 groups, domain, what stands beside it), and dynamic programming over segment ends chooses boundaries and
 kinds together. Its weights are fitted here, by maximum likelihood with forward-backward sums, on
 generated sentences (``training_sentences``), so they are the same for every corpus.
@@ -17,12 +17,12 @@ import random
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField
 
-from siftline.llm.common import slices, table
+from siftline.llm.common import fresh, from_texts, quoted, slices, table, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Longest entity in tokens: 19 digits, each with a separator, and signs around.
@@ -40,9 +40,13 @@ DIGIT = re.compile("[0-9]")
 
 MORE_DOMAIN = re.compile(r"\.[A-Za-z0-9]|\s?[\[({]dot[\])}]", re.IGNORECASE)
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
-TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|dot)[\])}]", re.IGNORECASE)
-#: Text on either side of a trigger that the field reads.
-REACH = 64
+#: What a candidate holds at least once; matched at a token's beginning.
+TRIGGER = re.compile(r"[0-9@]|[\[({]at[\])}]", re.IGNORECASE)
+#: Signs of numbers; a candidate of digits has no others.
+NUMERIC = frozenset("0123456789.()+-")
+DIGITS = frozenset("0123456789")
+#: Tokens before a candidate that are read for cues.
+CUE_TOKENS = 3
 CUES = {
     "email": frozenset("email mail e contact write".split()),
     "ip": frozenset("ip host server address addr ping".split()),
@@ -91,18 +95,6 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of text within REACH of a trigger; those that meet become one."""
-    out: list[list[int]] = []
-    for m in TRIGGER.finditer(text):
-        a, b = m.start() - REACH, m.end() + REACH
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(max(0, a), min(len(text), b)) for a, b in out]
-
-
 def span_features(text: str, a: int, b: int, kind: int, before: list[str]) -> list[str] | None:
     """Features of the whole span text[a:b] as ``kind``; None if it can't be of that kind."""
     s = text[a:b]
@@ -123,11 +115,11 @@ def span_features(text: str, a: int, b: int, kind: int, before: list[str]) -> li
     edge = f"edge:{left.isalnum() or left in '._-@/$' and left != ''}:{right.isalnum() or right in '@/%' and right != ''}"
     if kind == 1:
         parts = s.split(".")
-        if len(parts) != 4 or not all(p.isdigit() and len(p) <= 3 for p in parts):
+        if len(parts) != 4 or not all(1 <= len(p) <= 3 and DIGITS.issuperset(p) for p in parts):
             return None
-        dotted = (left == "." and text[a - 2 : a - 1].isdigit()) or (right == "." and text[b + 1 : b + 2].isdigit())
+        dotted = (left == "." and text[a - 2 : a - 1] in DIGITS) or (right == "." and text[b + 1 : b + 2] in DIGITS)
         return f + [f"octets:{all(int(p) <= 255 for p in parts)}", edge, f"more:{dotted}"]
-    more = (right in "- ." and right != "" and text[b + 1 : b + 2].isdigit()) or (left in "- ." and left != "" and text[a - 2 : a - 1].isdigit())
+    more = (right in "- ." and right != "" and text[b + 1 : b + 2] in DIGITS) or (left in "- ." and left != "" and text[a - 2 : a - 1] in DIGITS)
     if kind == 2:
         if not 13 <= n <= 19 or not re.fullmatch(r"[0-9][0-9 -]*", s):
             return None
@@ -141,55 +133,80 @@ def span_features(text: str, a: int, b: int, kind: int, before: list[str]) -> li
     return f + [f"plus:{s[0] == '+'}", f"paren:{'(' in s and s.count('(') == s.count(')')}", f"open:{s.count('(') != s.count(')')}", f"shape:{shape}", f"n:{'7-9' if n < 10 else '10-11' if n < 12 else '12-15'}", f"luhn:{n >= 13 and luhn(digits)}", edge, f"more:{more}", f"dots:{s.count('.')}"]
 
 
-def segments(text: str, a: int, b: int) -> tuple[int, list[tuple[int, int, int, int, int, list[str]]]]:
-    """Tokens of text[a:b] and its candidate segments (first token, end token, start, end, kind, features)."""
-    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text, a, b)]
-    out = []
-    for i, (p, _) in enumerate(tokens):
-        c = text[p]
-        if not (c.isalnum() or c in "+("):
+def all_tokens(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in TOKEN.finditer(text)]
+
+
+def segments_from(text: str, tokens: list[tuple[int, int]], i: int) -> Iterator[tuple[int, int, int, int, int, list[str]]]:
+    """Candidate segments that begin with token i: (first token, end token, start, end, kind, features)."""
+    p = tokens[i][0]
+    c = text[p]
+    if not (c.isalnum() or c in "+("):
+        return
+    before = [text[x:y].lower() for x, y in tokens[max(0, i - CUE_TOKENS) : i]]
+    letters = at = gaps = False
+    digits, dots, plain = 0, 0, True
+    for j in range(i, min(len(tokens), i + MAX_TOKENS)):
+        x, y = tokens[j]
+        if j > i and (gap := text[tokens[j - 1][1] : x]) and (len(gap) > 1 or gap == "\n"):
+            return
+        word = text[x:y]
+        letters |= any(ch.isalpha() for ch in word)
+        at |= word == "@" or word.lower() == "at"
+        gap = j > i and x > tokens[j - 1][1]
+        if gap and letters and word[0] not in "[({" and text[tokens[j - 1][0]] not in "])}":
+            return
+        if not letters:
+            gaps |= gap
+            digits += sum(ch in DIGITS for ch in word)
+            dots += word == "."
+            plain = plain and NUMERIC.issuperset(word)
+        if not word[-1].isalnum():
             continue
-        before = [text[x:y].lower() for x, y in tokens[max(0, i - 3) : i]]
-        letters = at = False
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            x, y = tokens[j]
-            if j > i and (gap := text[tokens[j - 1][1] : x]) and (len(gap) > 1 or gap == "\n"):
-                break
-            word = text[x:y]
-            letters |= any(ch.isalpha() for ch in word)
-            at |= word == "@" or word.lower() == "at"
-            if (gap := j > i and x > tokens[j - 1][1]) and letters and text[x] not in "[({" and text[tokens[j - 1][0]] not in "])}":
-                break
-            if not word[-1].isalnum():
-                continue
-            if letters:
-                kinds = (0,) if at else ()
-            else:
-                kinds = (1, 2, 3)
-            for kind in kinds:
-                if (f := span_features(text, p, y, kind, before)) is not None:
-                    out.append((i, j + 1, p, y, kind, [f"{KINDS[kind]}|{z}" for z in (*f, "bias")]))
-    return len(tokens), out
+        # which kinds the counts allow: span_features refuses all others
+        if letters:
+            kinds = (0,) if at else ()
+        elif plain:
+            kinds = (*((1,) if dots == 3 and not gaps else ()), *((2,) if 13 <= digits <= 19 else ()), *((3,) if 7 <= digits <= 15 else ()))
+        else:
+            kinds = ()
+        for kind in kinds:
+            if (f := span_features(text, p, y, kind, before)) is not None:
+                yield i, j + 1, p, y, kind, [f"{KINDS[kind]}|{z}" for z in (*f, "bias")]
+
+
+def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, int, list[str]]]]:
+    """Number of tokens of a text, and all its candidate segments."""
+    tokens = all_tokens(text)
+    return len(tokens), [seg for i in range(len(tokens)) for seg in segments_from(text, tokens, i)]
 
 
 def score(weights: dict[str, float], features: list[str]) -> float:
     return sum(weights.get(f, 0.0) for f in features)
 
 
-def decode(weights: dict[str, float], text: str, a: int, b: int) -> list[tuple[int, int, int]]:
-    """Best segmentation of text[a:b]: (start, kind, end) of its entities."""
-    n, segs = segments(text, a, b)
-    ending: list[list] = [[] for _ in range(n + 1)]
-    for seg in segs:
-        ending[seg[1]].append((score(weights, seg[5]), seg))
+def decode(weights: dict[str, float], text: str, tokens: list[tuple[int, int]], first: int = 0) -> list[tuple[int, int, int]]:
+    """Best segmentation of the tokens from ``first`` on: (start, kind, end) of its entities.
+
+    Segments are scored as they are met, and of those that end at a token only the best is kept.
+    """
+    n = len(tokens)
     best, back = [0.0] * (n + 1), [None] * (n + 1)
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]  # a token outside all entities scores 0
-        for s, seg in ending[j]:
-            if best[seg[0]] + s > best[j]:
-                best[j], back[j] = best[seg[0]] + s, seg
+    ends = [-math.inf] * (n + 1)
+    for i in range(first, n):
+        if ends[i] > best[i]:
+            best[i] = ends[i]
+        else:
+            back[i] = None  # a token outside all entities scores 0
+        for seg in segments_from(text, tokens, i):
+            s = best[i] + score(weights, seg[5])
+            if s > ends[seg[1]]:
+                ends[seg[1]], back[seg[1]] = s, seg[:5]
+        best[i + 1] = best[i]
+    if ends[n] <= best[n]:
+        back[n] = None
     out, j = [], n
-    while j:
+    while j > first:
         if back[j]:
             out.append((back[j][2], back[j][4], back[j][3]))
             j = back[j][0]
@@ -198,6 +215,47 @@ def decode(weights: dict[str, float], text: str, a: int, b: int) -> list[tuple[i
     return out[::-1]
 
 
+def field_spans(weights: dict[str, float], text: str) -> list[tuple[int, int, int]]:
+    """The field's entities in a whole text, as one decoding of all its tokens gives them.
+
+    A segment holds a trigger and has at most MAX_TOKENS tokens, so what stands farther from all triggers than
+    that is outside all entities; and none crosses a wide gap, so each stretch between gaps is decoded alone.
+    """
+    out: list[tuple[int, int, int]] = []
+    if not TRIGGER.search(text):
+        return out
+    held: list[tuple[int, int]] = []  # the tokens that may still be needed
+    first = 0  # no open segment begins before this one; those before it are read for cues alone
+    left = 0  # tokens to go until all segments with the last trigger have ended and none with the next one has begun
+    end = 0
+    for m in TOKEN.finditer(text):
+        a, b = m.span()
+        if (gap := a - end) > 1 or (gap == 1 and text[end] == "\n"):
+            if left:
+                out += decode(weights, text, held, first)
+                left = 0
+            held = held[-CUE_TOKENS:]
+            first = len(held)
+        end = b
+        held.append((a, b))
+        if text[a] in "0123456789@[({" and TRIGGER.match(text, a):
+            if not left:
+                first = max(first, len(held) - MAX_TOKENS)
+            left = 2 * MAX_TOKENS
+        elif left:
+            left -= 1
+            if not left:
+                out += decode(weights, text, held[:-MAX_TOKENS], first)
+                first = len(held) - MAX_TOKENS
+        if not left and len(held) > 8 * MAX_TOKENS:
+            drop = len(held) - MAX_TOKENS - CUE_TOKENS
+            held = held[drop:]
+            first = max(first - drop, CUE_TOKENS)
+    if left:
+        out += decode(weights, text, held, first)
+    return out
+
+
 def _log_add(a: float, b: float) -> float:
     return max(a, b) + math.log1p(math.exp(-abs(a - b)))
 
@@ -258,7 +316,7 @@ def fitted_weights(n: int = 300, epochs: int = 12, seed: int = 7, rate: float =
     """Weights of the field by stochastic gradients of the log-likelihood (AdaGrad); the sums run over all segmentations."""
     data = []
     for text, spans in training_sentences(n, seed):
-        size, segs = segments(text, 0, len(text))
+        size, segs = segments(text)
         gold = {(p, y, k) for p, k, y in spans}
         data.append((size, [(i, j, f, (p, y, k) in gold) for i, j, p, y, k, f in segs]))
     w: dict[str, float] = {}
@@ -308,7 +366,7 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[tuple[int, int
         k = bisect.bisect_left(starts, span[2])  # stretches that begin before the span's end
         return not k or ends[k - 1] <= span[0]
 
-    added = [x for a, b in regions(text) for x in decode(weights, text, a, b) if free(x)]
+    added = [x for x in field_spans(weights, text) if free(x)]
     return base, sorted(base + added)
 
 
@@ -352,16 +410,19 @@ def redact(text: str, weights: dict[str, float]) -> str:
 
 
 def redact_pii(docs: DataFrame) -> DataFrame:
-    """All rows and columns of docs, with spans in text replaced and n_chars, where there is one, renewed. A null text stays null."""
+    """All rows and columns of docs, with spans in text replaced and n_chars, where there is one, renewed.
+
+    A null text stays null, an empty one empty; repeated rows stay repeated; other columns come back as they were,
+    whatever their names; very long texts are worked off alone; an empty table gives an empty result.
+    """
     weights = fitted_weights()
-    schema = docs.select(F.col("text").cast("string").alias("text")).schema
+    new = fresh("redacted", docs.columns)
 
-    @F.pandas_udf(schema["text"].dataType)
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else redact(t, weights))
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array([t if t is None else redact(t, weights) for t in texts], pa.string())]
 
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+    keep = [c for c in docs.columns if c.lower() != "text"]
+    # the old text goes to the workers once and does not come back
+    out = from_texts(docs, [StructField(new, StringType())], make, keep)
+    out = out.select(*(F.col(new).alias(c) if c.lower() == "text" else F.col(quoted(c)) for c in docs.columns))
+    return out.select(*(c.cast(docs.schema[n].dataType).alias(n) for c, n in zip(with_text(out, F.col("text")), docs.columns, strict=True)))
