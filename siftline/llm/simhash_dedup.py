@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from siftline.llm.common import slices, table, written
+from siftline.llm.common import columns_of, fresh, from_texts, slices, table, written
 from siftline.llm.components import star_roots
 
 #: Rows of 8 bits for each byte value, lowest bit first.
@@ -143,28 +144,44 @@ def close_fingerprints(fps: DataFrame, n: int, distance: int = 4, tile: int = 10
     return met.mapInArrow(link, "u long, v long")
 
 
+def rooted_fingerprints(nodes: DataFrame, distance: int) -> DataFrame:
+    """nodes (one row for each fp) with the least fingerprint that its links lead to, as ``root``."""
+    roots = star_roots(close_fingerprints(nodes.select("fp"), nodes.count(), distance))
+    rooted = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(rooted, "rooted")
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4, n: int = 4) -> DataFrame:
     """Fingerprint and component of every document: doc_id, fingerprint (16 hex digits), component_id.
 
-    docs needs doc_id and text; other columns are not read. Documents without a word have fingerprint zero
-    and are linked like any other. Equal fingerprints are one node, however many copies there are; a
-    component's id is the least doc_id in it (null if it has none but null). Repeated rows come back repeated.
+    docs needs doc_id and text; other columns are not read, whatever their names. Documents without a word have
+    fingerprint zero and are linked like any other. Equal fingerprints are one node, however many copies there are;
+    a component's id is the least doc_id in it (null if it has none but null). Repeated rows come back repeated,
+    whole texts are read however long, and an empty table gives an empty result.
     """
     by_doc = written(fingerprints(docs, n), "fingerprints")
     nodes = written(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = star_roots(close_fingerprints(nodes.select("fp"), nodes.count(), distance))
-    rooted = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = written(rooted, "rooted")
+    rooted = rooted_fingerprints(nodes, distance)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return by_doc.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, distance: int = 4, n: int = 4) -> DataFrame:
-    """The document of least doc_id of every component, all columns as they were.
+    """One row of every component, all columns as they were, whatever their names.
 
-    Rows of one doc_id are one document and come back once; rows without a doc_id belong to no group and stay.
+    Rows are nodes, so rows of one doc_id with unlike texts stay side by side, and of repeated rows one stays. The row
+    of least doc_id stays (a null doc_id comes last); of equal ones that of least fingerprint, then of least text hash.
+    A null text has no words and is linked like an empty one; an empty table gives an empty result.
     """
-    kept = simhash_groups(docs.filter("doc_id is not null"), distance, n).filter("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    fp, row = fresh("fp", docs.columns), fresh("row", docs.columns)
+
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        return [pa.array(np.array([fingerprint((t or "").encode(), n) for t in texts], np.uint64).view(np.int64))]
+
+    # numbers of rows are fixed once they are written
+    tagged = written(from_texts(docs, [StructField(fp, LongType())], make).withColumn(row, F.monotonically_increasing_id()), "tagged")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").cast("long").alias("b"), F.col(fp).alias("c"), F.xxhash64(F.col("text").cast("string")).alias("d"), F.col(row).alias("row"))
+    nodes = written(tagged.groupBy(F.col(fp).alias("fp")).agg(F.min(order).alias("first")), "nodes")
+    kept = rooted_fingerprints(nodes, distance).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return tagged.join(kept, row, "left_semi").select(*columns_of(docs))
