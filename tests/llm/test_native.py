@@ -1,8 +1,10 @@
 """Quality rules, order fingerprints and licence scans: DataFrame expressions against plain Python."""
 
 import hashlib
+import random
 import re
 import struct
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -40,7 +42,28 @@ def test_rules_odd_documents(spark, odd, empty):
         assert r.base_failed == (len(w) < 10 or 100 * r.n_repeat_words > 20 * len(w))
         assert not (r.kept and r.base_failed)
     assert Q.quality_rules(empty).collect() == []
-    assert Q.keep_good(odd).columns == odd.columns
+    good = Q.keep_good(odd)
+    assert good.dtypes == odd.dtypes
+    rest = [c for c in odd.columns if c not in ("text", "n_chars")]
+    assert {tuple(r) for r in good.select(rest).collect()} <= {tuple(r) for r in odd.select(rest).collect()}
+    assert all(r.n_chars == len(r.text) for r in good.collect())
+
+
+def test_rules_keep_columns_of_any_name(spark):
+    body = "Plain prose of a calm kind goes on and on here, and it ends.\n\nhome | about | login | help\nMore of it comes here."
+    docs = spark.createDataFrame([(1, body, "k", "v", "w", "l", 7)], "doc_id long, text string, kept string, verdict string, words string, lines string, `n.chars` int")
+    (row,) = Q.keep_good(docs).collect()
+    assert tuple(row) == (1, "Plain prose of a calm kind goes on and on here, and it ends.\n\nMore of it comes here.", "k", "v", "w", "l", 7)
+
+
+def test_rules_read_long_texts_whole(spark):
+    """Repeats of a text of many windows, counted by a dictionary."""
+    r = random.Random(9)
+    w = [r.choice("abcdefghij") * r.randint(1, 3) for _ in range(40_000)]
+    grams = Counter(zip(*(w[i:] for i in range(5)), strict=False))
+    places = {i + k for i, g in enumerate(zip(*(w[i:] for i in range(5)), strict=False)) if grams[g] > 1 for k in range(5)}
+    (row,) = Q.quality_rules(spark.createDataFrame([(1, " ".join(w))], "doc_id long, text string")).collect()
+    assert row.n_repeat_words == len(places)
 
 
 def test_rules_reject_what_loses_its_lines(spark):
