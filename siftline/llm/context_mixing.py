@@ -1,20 +1,28 @@
 """Text scores by logistic context mixing over the bits of a text.
 
-A text is its words, A-Z in lower case, each followed by a blank, and an end mark (a blank where a word
-would begin). Its bits are predicted one after the other by hashed contexts of the text so far: its last one
-to six bytes, blanks and earlier words among them, the beginning of the word, and that beginning with the
-whole word before, each with the bits of the current byte that are known. A context holds counts of zeros
-and ones over all training documents. The predictors' stretched probabilities are mixed with weights that a
-gate chooses by how much two of the contexts have seen; weights learn online, each small batch predicted
-before it is learnt, without its own counts; an adaptive map then refines the mixed probability.
+A text is its words, A-Z in lower case, each followed by a blank, and an end mark (a blank where a word would
+begin). Its bytes are spelled in the bits of a Huffman code of all training texts, and the bits are predicted one
+after the other by hashed contexts of the text so far, each with the bits of the current byte that are known: its
+last 2, 3 and 5 bytes, the beginning of the word, and that beginning with the whole word before. Contexts reach
+over blanks, back to the beginning of the word before. A context's slot counts zeros and ones over all training
+documents. The predictors' stretched probabilities are mixed with weights that a gate chooses by how much the two
+longest contexts have seen; weights learn online, in the pass that counts: each run of bits is predicted from what
+the task has counted so far, the weights learn from it, and then it is counted. An adaptive map refines the mixed
+probability. The word's own count among all training words, kept in
+a table that grows with the corpus, is mixed in last.
+
+What is predicted for a word depends on it and the word before alone, so in a batch of texts every two words that
+meet are worked off once, with their number.
 """
 
 from __future__ import annotations
 
+import heapq
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,199 +31,341 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import slices, table, written
 
-#: Bits of each predictor's table: the last 1, 2, 3, 4 bytes, the word's beginning, the last 5 and 6 bytes, the word before and the word's beginning.
-TABLE_BITS = (16, 20, 20, 20, 22, 21, 21, 22)
-ORDERS = {1: 0, 2: 1, 3: 2, 4: 3, 5: 5, 6: 6}
-PIECE = 1 << 16
+#: Bytes of the plain contexts, then bits of each predictor's table: those, the word's beginning, the word before with it.
+LAST = (2, 3, 5)
+TABLE_BITS = (20, 21, 22, 22, 22)
+N = len(TABLE_BITS)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+SLOTS = int(OFFSETS[-1])
 CHUNK = 1 << 16
+#: Longer words are worked off in parts of so many bytes, each with the part before as the word before.
+SEGMENT = 1 << 10
+#: Bytes of text in a batch, bytes of distinct pairs worked off together.
+BATCH, STEP_BYTES = 4 << 20, 1 << 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-STEP = np.uint64(0xD6E8FEB86659FD93)
-BLANK = 0x20
-GATES = 8 * 4
+MIX = np.uint64(0xD6E8FEB86659FD93)
+BLANK_AT = re.compile(rb"[ \t-\r]")
+#: Counts are kept as levels: whole up to 8, then two to an octave.
+WHOLE, LEVELS = 8, 84
+CONF = 6
+GATES = CONF * CONF
 BUCKETS = 33
 LOG10_2 = float(np.log10(2.0))
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+LOG10_E = float(np.log10(np.e))
+#: Share of a known word's own count in its probability.
+WORD_SHARE = 1 / 16
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
-    x = x * STEP
+    x = x * MIX
     return x ^ (x >> np.uint64(32))
 
 
-def stream(text: bytes | None) -> bytes:
-    """The words with a blank after each; :func:`contexts` adds the end mark."""
-    return b" ".join([*(text or b"").lower().split(), b""])
+NODE_HASH = (_spread((np.arange(256, dtype=np.uint64) + np.uint64(1)) * PRIME) >> np.uint64(32)).view(np.int64)
+POWERS = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(SEGMENT + 1, PRIME | np.uint64(1))]))
 
 
-def pieces(text: bytes, limit: int = PIECE) -> Iterator[tuple[bytes, int]]:
-    """A stream cut after blanks, and the bytes of each piece that only lead to it: all that contexts reach back to.
+def level_of(n: np.ndarray) -> np.ndarray:
+    """Level of a count."""
+    high = WHOLE + np.floor(2 * np.log2(np.maximum(n, WHOLE) / WHOLE)).astype(np.int64)
+    return np.minimum(np.where(n <= WHOLE, n, high), LEVELS - 1).astype(np.int64)
 
-    All but the last piece end in a blank that :func:`contexts` would add, so it is left off.
-    """
-    at = lead = 0
-    while (cut := text.find(b" ", at + limit) + 1) and cut < len(text):
-        yield text[lead : cut - 1], at - lead
-        at, lead = cut, max(0, min(text.rfind(b" ", 0, cut - 1) + 1, cut - max(ORDERS)))
-    yield text[lead:], at - lead
-
-
-def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts with a blank after each; for each byte its text and the hashes of its contexts (predictors x bytes)."""
-    raw = np.frombuffer(b"".join(w + b" " for w in texts), np.uint8)
-    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    word = np.repeat(np.arange(len(texts)), lens)
-    place = np.arange(len(raw)) - np.repeat(np.cumsum(lens) - lens, lens)
-    value = raw.astype(np.uint64) + np.uint64(1)
-    out = np.zeros((len(TABLE_BITS), len(raw)), np.uint64)
-    last = np.zeros(len(raw), np.uint64)
-    for k, o in ORDERS.items():  # the byte k places before, 0 before the text's beginning
-        before = np.zeros(len(raw), np.uint64)
-        before[k:] = value[:-k]
-        before[place < k] = 0
-        last = last * np.uint64(257) + before
-        out[o] = _spread(last * PRIME + np.uint64(k))
-    first = place == 0
-    first[1:] |= raw[:-1] == BLANK
-    begins = np.flatnonzero(first)
-    number = np.cumsum(first) - 1
-    inside = np.arange(len(raw)) - begins[number]
-    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(inside.max(initial=0)), PRIME | np.uint64(1))]))
-    # whole beginning: sum of byte * PRIME^(place), taken from running sums within the batch
-    terms = value * power[inside]
+
+#: A level's count.
+COUNT_OF = np.where(np.arange(LEVELS) <= WHOLE, np.arange(LEVELS), WHOLE * 2.0 ** ((np.arange(LEVELS) - WHOLE + 0.5) / 2))
+
+
+#: Level of small counts, for a look-up.
+SMALL = level_of(np.arange(1 << 12))
+#: A slot's counts are one number: zeros in its lower half, ones in its upper.
+HALF = np.int64((1 << 32) - 1)
+
+
+def stretched(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretched probability of a one from slots' counts, and how often they were seen, up to 511."""
+    zeros, ones = counts & HALF, counts >> 32
+    seen = np.minimum(zeros + ones, len(CONFIDENCE_OF) - 1)
+    return np.log((ones.astype(np.float32) + np.float32(0.02)) / (zeros.astype(np.float32) + np.float32(0.02))), seen
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    levels = SMALL.take(n, mode="clip")
+    if len(n) and n.max() >= len(SMALL):
+        big = n >= len(SMALL)
+        levels[big] = level_of(n[big])
+    return levels
+
+
+def states_of(counts: np.ndarray) -> np.ndarray:
+    """State of slots' counts: both levels in one number."""
+    return _levels(counts & HALF) * LEVELS + _levels(counts >> 32)
+
+
+#: How sure a context is that was seen so often.
+CONFIDENCE_OF = np.searchsorted([1, 2, 5, 17, 257], np.arange(512), side="right")
+#: A state's stretched probability of a one, 0 where nothing was seen, and how sure it is.
+STRETCHED = np.log((np.tile(COUNT_OF, LEVELS) + 0.02) / (np.repeat(COUNT_OF, LEVELS) + 0.02)).astype(np.float32)
+CONFIDENCE = CONFIDENCE_OF[np.minimum(np.tile(COUNT_OF, LEVELS) + np.repeat(COUNT_OF, LEVELS), 511).astype(np.int64)]
+
+
+class Code:
+    """Huffman code of bytes: for each byte the inner nodes on its path, and the bits taken there."""
+
+    def __init__(self, histogram: np.ndarray):
+        heap = [(int(n) + 1, i, i) for i, n in enumerate(histogram)]
+        heapq.heapify(heap)
+        parent: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            (a, i, x), (b, j, y) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[x], parent[y] = (node, 0), (node, 1)
+            heapq.heappush(heap, (a + b, min(i, j), node))
+        paths = []
+        for at in range(256):
+            path = []
+            while at in parent:
+                at, bit = parent[at]
+                path.append((at - 256, bit))
+            paths.append(path[::-1])
+        self.length = np.array([len(p) for p in paths], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.turn = NODE_HASH[[n for p in paths for n, _ in p]]
+        self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+
+    def events(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each bit of the bytes: the byte's place, the hash of the bits before it, the bit."""
+        n = self.length.take(raw)
+        of = np.repeat(np.arange(len(raw)), n)
+        at = np.arange(len(of)) + (self.start.take(raw) - (np.cumsum(n) - n)).take(of)
+        return of, self.turn.take(at), self.bit.take(at)
+
+
+class Numbers(dict):
+    """Key to its number; a new key gets the next one."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+def unit_bytes(key: bytes | None) -> bytes:
+    """What a unit spells: a word with a blank, or a part of a long word, whose key begins with a blank."""
+    if key is None or len(key) > SEGMENT + 1:
+        return b""
+    return key[1:] if key[:1] == b" " else key + b" "
+
+
+def parts(word: bytes) -> list[bytes]:
+    """Keys of a word's units."""
+    if len(word) <= SEGMENT:
+        return [word]
+    cuts = [word[i : i + SEGMENT] for i in range(0, len(word), SEGMENT)]
+    return [*(b" " + c for c in cuts[:-1]), cuts[-1]]
+
+
+def blank_pieces(text: bytes, limit: int = BATCH) -> Iterator[bytes]:
+    """The text in pieces of about ``limit`` bytes that end before a blank."""
+    at = 0
+    while len(text) - at > limit and (m := BLANK_AT.search(text, at + limit)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]
+
+
+@dataclass
+class Batch:
+    """Words of some texts. ``keys``: distinct words and units, None first. ``words``: numbers of the words, end marks among
+    them; ``doc``: their texts. ``units``, ``before``: numbers of the units and of the units before them; ``word_of``: whose they are."""
+
+    keys: list[bytes | None]
+    words: np.ndarray
+    doc: np.ndarray
+    units: np.ndarray
+    before: np.ndarray
+    word_of: np.ndarray
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (before, unit) as one number each, where each unit's is, and how often each is there."""
+        return np.unique(self.before * len(self.keys) + self.units, return_inverse=True, return_counts=True)
+
+
+def batches_of(texts: list[bytes | None], limit: int = BATCH) -> Iterator[Batch]:
+    """The texts' words in batches of about ``limit`` bytes; a long text goes on in the next one."""
+
+    def new(last: bytes | None = None):
+        n = Numbers({None: 0})
+        return n, [], [], [], [], [], n[last]
+
+    numbers, words, doc, units, before, word_of, last = new()
+    held = 0
+
+    def batch() -> Batch:
+        return Batch(list(numbers), *(np.array(x, np.int64) for x in (words, doc, units, before, word_of)))
+
+    for d, text in enumerate(texts):
+        last = 0
+        for piece in (*blank_pieces(text or b"", limit), None):
+            if held > limit:
+                yield batch()
+                numbers, words, doc, units, before, word_of, last = new(list(numbers)[last])
+                held = 0
+            some = [b""] if piece is None else piece.lower().split()
+            if not some:
+                continue
+            held += len(piece or b"")
+            first = len(words)
+            got = list(map(numbers.__getitem__, some))
+            words += got
+            doc += [d] * len(got)
+            if max(map(len, some)) <= SEGMENT:
+                word_of += range(first, first + len(got))
+            else:
+                cut = [parts(w) for w in some]
+                word_of += [first + i for i, p in enumerate(cut) for _ in p]
+                got = [numbers[u] for p in cut for u in p]
+            before.append(last)
+            before += got[:-1]
+            units += got
+            last = got[-1]
+    if words:
+        yield batch()
+
+
+def contexts(batch: Batch, pairs: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of pairs: which, their bytes, each byte's pair (numbered in the run), and the hashes of its contexts (predictors x bytes)."""
+    spelled = list(map(unit_bytes, batch.keys))
+    flat = np.frombuffer(b"".join(spelled), np.uint8)
+    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
+    start = np.cumsum(size) - size
+    value = flat.astype(np.uint64) + np.uint64(1)
+    inside = np.arange(len(flat)) - np.repeat(start, size)
+    # a polynomial of the unit's bytes before each place, from running sums
+    terms = value * POWERS[inside]
     sums = np.cumsum(terms, dtype=np.uint64) - terms
-    beginning = (sums - sums[begins[number]]) * PRIME + np.uint64(5) + inside.astype(np.uint64)
-    out[4] = _spread(beginning)
-    whole = np.add.reduceat(terms, begins) if len(raw) else terms
-    before = np.concatenate([np.zeros(1, np.uint64), _spread(whole * PRIME + np.uint64(8))])[:-1]
-    before[place[begins] == 0] = 0
-    out[7] = _spread(_spread(beginning) * PRIME + before[number] + np.uint64(7))
-    return raw, word, out
-
-
-def _owned(texts: list[bytes], leads: np.ndarray) -> np.ndarray:
-    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    return np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) >= np.repeat(leads, lens)
-
-
-def bit_slots(raw: np.ndarray, ctx: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each of the 8 bits: the bit's number, the bits themselves, and slots in the joint table (predictors x bytes)."""
-    known = np.ones(len(raw), np.uint64)
-    for k in range(8):
-        bit = raw >> (7 - k) & 1
-        slots = np.empty(ctx.shape, np.int64)
-        for o, bits in enumerate(TABLE_BITS):
-            slots[o] = (_spread(ctx[o] + known * PRIME) & np.uint64((1 << bits) - 1)).astype(np.int64) + OFFSETS[o]
-        yield k, bit, slots
-        known = known * np.uint64(2) + bit
-
-
-def count_bits(texts: list[bytes], weight: np.ndarray, counts: np.ndarray, leads: np.ndarray | None = None) -> None:
-    """Add the texts' bits, ``weight`` times each, to counts (2 x all slots); leading bytes are context only."""
-    raw, word, ctx = contexts(texts)
-    w = weight[word]
-    if leads is not None and leads.any():
-        own = _owned(texts, leads)
-        raw, w, ctx = raw[own], w[own], ctx[:, own]
-    for _, bit, slots in bit_slots(raw, ctx):
-        for y in (0, 1):
-            here = bit == y
-            if here.any():
-                np.add.at(counts[y], slots[:, here].ravel(), np.tile(w[here], len(TABLE_BITS)))
+    beginning = _spread((sums - np.repeat(sums[np.minimum(start, max(0, len(flat) - 1))], size)) * PRIME + np.uint64(5) + inside.astype(np.uint64)) if len(flat) else sums
+    whole = np.zeros(len(size), np.uint64)
+    some = np.flatnonzero(size)
+    if len(some):
+        whole[some] = _spread(np.add.reduceat(terms, start[some]) * PRIME + np.uint64(8))
+    # last bytes within the unit, and those of the unit before that come before them
+    most = max(LAST)
+    power = np.uint64(257) ** np.arange(most + 1, dtype=np.uint64)
+    own = np.zeros((most + 1, len(flat)), np.uint64)
+    for j in range(1, most + 1):
+        back = np.zeros(len(flat), np.uint64)
+        back[j:] = value[:-j]
+        back[inside < j] = 0
+        own[j] = own[j - 1] + back * power[j - 1]
+    tail = np.zeros((len(size), most + 1), np.uint64)
+    for j in range(1, most + 1):
+        has = size >= j
+        tail[:, j] = tail[:, j - 1]
+        tail[has, j] += value[(start + size - j)[has]] * power[j - 1]
+    tail = tail.ravel()
+    n = len(batch.keys)
+    left, right = pairs // n, pairs % n
+    length = size[right]
+    ends = np.cumsum(length)
+    a = 0
+    while a < len(pairs):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
+        length_, left_ = length[a:b], left[a:b]
+        of = np.repeat(np.arange(b - a), length_)
+        at = np.arange(len(of)) + (start[right[a:b]] - (np.cumsum(length_) - length_)).take(of)
+        place = inside.take(at)
+        factor = power.take(place, mode="clip")
+        row = (left_ * (most + 1)).take(of)
+        out = np.empty((N, len(of)), np.uint64)
+        for o, k in enumerate(LAST):
+            last = own[k].take(at) + tail.take(row + np.maximum(k - place, 0)) * factor
+            out[o] = _spread(last * PRIME + np.uint64(k))
+        out[N - 2] = beginning.take(at)
+        out[N - 1] = _spread(out[N - 2] * PRIME + whole.take(left_).take(of) + np.uint64(7))
+        out >>= np.uint64(32)
+        yield slice(a, b), flat.take(at), of, out.view(np.int64)
+        a = b
+
+
+def slots_of(hashes: np.ndarray, of: np.ndarray, turn: np.ndarray) -> list[np.ndarray]:
+    """The bits' slots in each predictor's table."""
+    return [(hashes[o].take(of) ^ turn) & ((1 << bits) - 1) for o, bits in enumerate(TABLE_BITS)]
+
+
+def no_counts() -> list[np.ndarray]:
+    """For each predictor zeros and ones of every slot."""
+    return [np.zeros(1 << bits, np.int64) for bits in TABLE_BITS]
 
 
 @dataclass
 class BitMixer:
-    """Counts, gated weights and the refining map; ``log10`` scores words, ``learn`` is the online step."""
+    """Code, gated weights and the refining map."""
 
-    counts: np.ndarray  # 2 x slots, float32
-    weights: np.ndarray  # gates x predictors
-    refine: np.ndarray  # 8 x gates/8 x buckets, probabilities
-    rate: float = 0.002
-    refine_rate: float = 0.01
+    code: Code
+    weights: np.ndarray  # predictors x gates
+    refine: np.ndarray  # confidence x buckets, probabilities
+    rate: float = 0.02
+    refine_rate: float = 1e-4
+    seen: np.ndarray = field(default_factory=lambda: np.full((N, GATES), 1.0))
 
     @classmethod
-    def fresh(cls, counts: np.ndarray) -> BitMixer:
-        grid = squash((np.arange(BUCKETS) - BUCKETS // 2) / 2.0)
-        return cls(counts, np.full((GATES, len(TABLE_BITS)), 1.5 / len(TABLE_BITS)), np.tile(grid, (8, 8, 1)))
-
-    def _parts(self, bit: np.ndarray, slots: np.ndarray, own: float):
-        """Stretched predictions and gates, without ``own`` counts of the bit itself."""
-        n0, n1 = self.counts[0][slots].astype(np.float64), self.counts[1][slots].astype(np.float64)
-        if own:
-            n1 = np.maximum(n1 - own * bit, 0)
-            n0 = np.maximum(n0 - own * (1 - bit.astype(np.float64)), 0)
-        total = n0 + n1
-        st = np.log((n1 + 0.02) / (n0 + 0.02))  # 0 where nothing was seen
-        seen = np.minimum(np.log2(total[4] + 1), 7).astype(np.int64)
-        gate = seen * 4 + np.minimum(np.log2(total[3] + 1) / 2, 3).astype(np.int64)
-        return st, gate, seen
-
-    def _mix(self, k: int, st: np.ndarray, gate: np.ndarray, seen: np.ndarray):
-        x = np.clip((st * self.weights.T[:, gate]).sum(0), -20, 20)
-        place = np.clip(x * 2 + BUCKETS // 2, 0, BUCKETS - 1.001)
-        low = place.astype(np.int64)
-        part = place - low
-        fine = self.refine[k, seen, low] * (1 - part) + self.refine[k, seen, low + 1] * part
-        mixed = squash(x)
-        # the map knows little about the ends of the scale, where the mixed probability stands alone
-        p = np.where(np.abs(x) < 7, (mixed + fine) / 2, mixed)
-        return x, np.clip(p, 1e-9, 1 - 1e-9), low, part
-
-    def learn(self, texts: list[bytes], leads: np.ndarray | None = None) -> float:
-        """Predict the texts, then learn from them; the bits they cost."""
-        raw, _, ctx = contexts(texts)
-        if leads is not None and leads.any():
-            own = _owned(texts, leads)
-            raw, ctx = raw[own], ctx[:, own]
-        cost = 0.0
-        for k, bit, slots in bit_slots(raw, ctx):
-            st, gate, seen = self._parts(bit, slots, 1.0)
-            x, p, low, part = self._mix(k, st, gate, seen)
-            cost -= float(np.log2(np.where(bit == 1, p, 1 - p)).sum())
-            err = bit - squash(x)
-            step = np.stack([np.bincount(gate, row, GATES) for row in st * err], 1)
-            hits = np.bincount(gate, minlength=GATES)[:, None]
-            self.weights += self.rate * step / np.sqrt(np.maximum(hits, 1))
-            at = np.where(part < 0.5, low, low + 1)
-            for y in (0, 1):
-                n = np.bincount(seen[bit == y] * BUCKETS + at[bit == y], minlength=8 * BUCKETS).reshape(8, BUCKETS)
-                self.refine[k] += (y - self.refine[k]) * (1 - (1 - self.refine_rate) ** n)
-        return cost
-
-    def log10(self, texts: list[bytes], batch_bytes: int = 1 << 16) -> np.ndarray:
-        """log10 of each text's probability, the blank after it included."""
-        out = np.zeros(len(texts))
-        for of, some, leads in batched(texts, batch_bytes):
-            raw, word, ctx = contexts(some)
-            cost = np.zeros(len(raw))
-            for k, bit, slots in bit_slots(raw, ctx):
-                st, gate, seen = self._parts(bit, slots, 0.0)
-                p = self._mix(k, st, gate, seen)[1]
-                cost += np.log10(np.where(bit == 1, p, 1 - p))
-            np.add.at(out, of[word], np.where(_owned(some, leads), cost, 0.0))
-        return out
-
-
-def batched(texts: list[bytes], batch_bytes: int) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray]]:
-    """Pieces of about ``batch_bytes`` together: the texts' numbers, the pieces, the bytes that only lead."""
-    of, some, leads, held = [], [], [], 0
-    for i, text in enumerate(texts):
-        for piece, lead in pieces(text, max(batch_bytes, 1 << 10)):
-            if held and held + len(piece) > batch_bytes:
-                yield np.array(of), some, np.array(leads)
-                of, some, leads, held = [], [], [], 0
-            of.append(i)
-            some.append(piece)
-            leads.append(lead)
-            held += len(piece) + 1
-    if some:
-        yield np.array(of), some, np.array(leads)
-
+    def fresh(cls, code: Code) -> BitMixer:
+        grid = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2.0))
+        return cls(code, np.full((N, GATES), 0.3), np.tile(grid, (CONF, 1)))
+
+    def mixed(self, st: list[np.ndarray], conf: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gates, mixed stretch, and the map's cells, of bits with these stretched predictions and confidences of the last two."""
+        gate = conf * CONF + other
+        weights = self.weights.astype(np.float32)
+        x = st[0] * weights[0].take(gate)
+        for o in range(1, N):
+            x += st[o] * weights[o].take(gate)
+        np.clip(x, -20, 20, out=x)
+        bucket = np.clip(np.rint(x * 2), -(BUCKETS // 2), BUCKETS // 2).astype(np.int64)
+        return gate, x, conf * BUCKETS + bucket + BUCKETS // 2
+
+    def probability(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Of a one; the map knows little about the ends of the scale, where the mixed probability stands alone."""
+        p = 1 / (1 + np.exp(-x))
+        p = np.where(np.abs(x) < 7, (p + self.refine.astype(np.float32).ravel().take(cell)) / 2, p)
+        return np.clip(p, np.float32(1e-7), np.float32(1 - 1e-7))
+
+    def learn(self, batch: Batch, counts: list[np.ndarray]) -> float:
+        """Predict the batch run by run from the counts so far, learn from each run, then count it; the bits that all cost."""
+        pairs, _, times = batch.pairs()
+        total = 0.0
+        for which, raw, byte_of, hashes in contexts(batch, pairs):
+            of, turn, bit = self.code.events(raw)
+            many = times[which].take(byte_of).take(of)
+            slots = slots_of(hashes, of, turn)
+            found = [stretched(c.take(s)) for c, s in zip(counts, slots, strict=True)]
+            st = [x for x, _ in found]
+            gate, x, cell = self.mixed(st, CONFIDENCE_OF.take(found[-2][1]), CONFIDENCE_OF.take(found[-1][1]))
+            p = self.probability(x, cell)
+            total -= float((np.log2(np.where(bit == 1, p, 1 - p)) * many).sum(dtype=np.float64))
+            err = (bit - 1 / (1 + np.exp(-x))) * many
+            step = np.stack([np.bincount(gate, s * err, GATES) for s in st])
+            self.seen += step * step
+            self.weights += self.rate * step / np.sqrt(self.seen)
+            hits = np.bincount(cell, many, CONF * BUCKETS)
+            ones = np.bincount(cell, many * bit, CONF * BUCKETS)
+            chance = self.refine.ravel()
+            chance += (ones / np.maximum(hits, 1) - chance) * (1 - (1 - self.refine_rate) ** hits)
+            add = many << (bit * np.int64(32))
+            for c, s in zip(counts, slots, strict=True):
+                np.add.at(c, s, add)
+        return total
+
+    def log10(self, batch: Batch, states: list[np.ndarray]) -> np.ndarray:
+        """log10 of each word's probability where it stands, the blank after it included, from all slots' states."""
+        pairs, where, _ = batch.pairs()
+        out = np.zeros(len(pairs))
+        for which, raw, byte_of, hashes in contexts(batch, pairs):
+            of, turn, bit = self.code.events(raw)
+            found = [t.take(s) for t, s in zip(states, slots_of(hashes, of, turn), strict=True)]
+            _, x, cell = self.mixed([STRETCHED.take(s) for s in found], CONFIDENCE.take(found[-2]), CONFIDENCE.take(found[-1]))
+            p = self.probability(x, cell)
+            out[which] = np.bincount(byte_of.take(of), np.log10(np.where(bit == 1, p, 1 - p)), which.stop - which.start)
+        return np.bincount(batch.word_of, out[where], len(batch.words))
 
 def remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
@@ -239,170 +389,184 @@ def count_words(docs: DataFrame, modulus: int, held: int, flush: int = 400_000)
         for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 to = rest if remainder(doc, modulus) == held else known
-                to.update((text or b"").lower().split())
                 to[b""] += 1
-                if len(known) + len(rest) > flush:
-                    yield out()
+                for piece in blank_pieces(text or b""):
+                    to.update(piece.lower().split())
+                    if len(known) + len(rest) > flush:
+                        yield out()
         if known or rest:
             yield out()
 
-    partial = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "word string, c long, n long")
+    partial = docs.mapInArrow(count, "word string, c long, n long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def _streams(batches: Iterator[pa.RecordBatch], modulus: int, held: int) -> Iterator[list[bytes]]:
-    """Streams of the training documents of each batch."""
-    for batch in slices(batches):
-        docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-        yield [stream(t) for d, t in zip(docs_, texts, strict=True) if remainder(d, modulus) != held]
-
+def byte_histogram(vocabulary: DataFrame) -> np.ndarray:
+    """How often each byte stands in the training words and behind them."""
+    schema = pa.schema([("byte", pa.int32()), ("n", pa.int64())])
 
-def gather_counts(docs: DataFrame, modulus: int, held: int) -> np.ndarray:
-    """Bit counts of all contexts over all training documents.
-
-    Each task counts its documents into tables of fixed size, the tables' chunks are added up by chunk as
-    integers, and the driver gets one table: ``8 * OFFSETS[-1]`` bytes, whatever the corpus. Two tasks for
-    each core, so that what they write is bounded too.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for batch in slices(batches, "word"):
+            words = [w + b" " for w in batch.column(0).cast(pa.binary()).to_pylist()]
+            lens = np.fromiter(map(len, words), np.int64, len(words))
+            many = np.repeat(batch.column(1).to_numpy(), lens)
+            total += np.bincount(np.frombuffer(b"".join(words), np.uint8), many, 256).astype(np.int64)
+        yield table(schema, range(256), total)
+
+    out = np.zeros(256, np.int64)
+    for r in vocabulary.filter("c > 0").select("word", "c").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():  # 256 rows
+        out[r.byte] = r.n
+    return out
+
+
+def learn_contexts(docs: DataFrame, code: Code, modulus: int, held: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """States of all slots over all training documents, and the weights and map learnt on the way.
+
+    Each task passes once over its training documents and counts into tables of fixed size; the tables' chunks are added
+    up by chunk, and the driver gets one table of states, ``2 * SLOTS`` bytes. The tasks' weights and maps are averaged
+    by the bytes they learnt from. Two tasks for each core, so that what they write is bounded too.
     """
-    n_chunks = -(-int(OFFSETS[-1]) // CHUNK)
-    schema = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("chunk", pa.int32()), ("n", pa.int64()), ("counts", pa.binary()), ("weights", pa.binary()), ("refine", pa.binary())])
+    spelled = "chunk int, n long, counts binary, weights binary, refine binary"
 
-    def chunks(counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(n_chunks):
-            part = counts[:, k * CHUNK : (k + 1) * CHUNK]
-            if part.any():
-                yield table(schema, [k], [np.ascontiguousarray(part).tobytes()])
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, mixer, size, held_bytes = no_counts(), BitMixer.fresh(code), 0, 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, size = np.zeros((2, n_chunks * CHUNK), np.int32), 0
-        for texts in _streams(batches, modulus, held):
-            for _, some, leads in batched(texts, PIECE):
-                count_bits(some, np.ones(len(some), np.int32), counts[:, : OFFSETS[-1]], leads)
-                size += sum(map(len, some)) + len(some)
-                if size > 1 << 30:  # before a count can leave 32 bits
-                    yield from chunks(counts)
-                    counts[:], size = 0, 0
-        yield from chunks(counts)
+        def chunks() -> Iterator[pa.RecordBatch]:
+            for o, c in enumerate(counts):
+                for at in range(0, len(c), CHUNK):
+                    part = c[at : at + CHUNK]
+                    if part.any():
+                        yield table(schema, [(int(OFFSETS[o]) + at) // CHUNK], [0], [part.tobytes()], [None], [None])
+                c[:] = 0
+
+        for batch in slices(batches):
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+            known = [t for d, t in zip(docs_, texts, strict=True) if remainder(d, modulus) != held]
+            size += sum(len(t or b"") + 1 for t in known)
+            for some in batches_of(known):
+                mixer.learn(some, counts)
+                held_bytes += 2 * BATCH
+                if held_bytes > 1 << 28:  # before a count can leave its half, also where bits of a byte share a slot
+                    yield from chunks()
+                    held_bytes = 0
+        if size:
+            yield from chunks()
+            yield table(schema, [-1], [size], [None], [mixer.weights.tobytes()], [mixer.refine.tobytes()])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        zeros, ones = {}, {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(data, np.int32)
-                sums[k] = sums.get(k, np.zeros(1, np.int64)) + got
-        for k, x in sums.items():
-            yield table(schema, [k], [x.astype(np.float32).tobytes()])
-
-    parts = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "chunk int, counts binary")
-    counts = np.zeros((2, n_chunks * CHUNK), np.float32)
-    for r in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
-        counts[:, r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, np.float32).reshape(2, -1)
-    return counts[:, : OFFSETS[-1]]
-
-
-def packed(counts: np.ndarray) -> bytes:
-    """Compressed: every node keeps broadcast values on its disk, and most slots are empty or hold small counts."""
-    return pa.compress(np.ascontiguousarray(counts), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(data, 8 * int(OFFSETS[-1]), codec="zstd"), np.float32).reshape(2, -1)
-
-
-def fit_mixer(docs: DataFrame, modulus: int, held: int, batch: int = 1 << 12):
-    """The broadcast counts (packed) of all training documents; weights and map learnt online over all their tokens.
-
-    Each task passes once over its documents in batches of about ``batch`` bytes; the tasks' weights and maps are
-    averaged by the bytes they learnt from.
-    """
-    counts = docs.sparkSession.sparkContext.broadcast(packed(gather_counts(docs, modulus, held)))
-    fresh = BitMixer.fresh(np.zeros((2, 0), np.float32))
-    schema = pa.schema([("n", pa.int64()), ("weights", pa.binary()), ("refine", pa.binary())])
-
-    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n = BitMixer.fresh(unpacked(counts.value)), 0
-        for texts in _streams(batches, modulus, held):
-            for _, some, leads in batched(texts, batch):
-                own.learn(some, leads)
-                n += sum(map(len, some)) + len(some) - int(leads.sum())
-        if n:
-            yield table(schema, [n], [own.weights.tobytes()], [own.refine.tobytes()])
-
-    parts = docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, "n long, weights binary, refine binary").collect()
-    if not parts:
-        return counts, fresh.weights, fresh.refine
-    share = np.array([r.n for r in parts]) / sum(r.n for r in parts)
-    weights, refine = (np.tensordot(share, [np.frombuffer(r[k]).reshape(x.shape) for r in parts], 1) for k, x in (("weights", fresh.weights), ("refine", fresh.refine)))
-    return counts, weights, refine
-
-
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 16) -> DataFrame:
+                got = np.frombuffer(data, np.int64)
+                zeros[k] = zeros.get(k, 0) + (got & HALF)
+                ones[k] = ones.get(k, 0) + (got >> 32)
+        for k in zeros:
+            states = (level_of(zeros[k]) * LEVELS + level_of(ones[k])).astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([states.tobytes()], pa.binary())], names=["chunk", "states"])
+
+    parts = written(docs.coalesce(2 * docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(learn, spelled), "contexts")
+    states = np.zeros(SLOTS, np.uint16)
+    sums = parts.filter("chunk >= 0").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, states binary")
+    for r in sums.toLocalIterator():
+        got = np.frombuffer(r.states, np.uint16)
+        states[r.chunk * CHUNK : r.chunk * CHUNK + len(got)] = got
+    fresh = BitMixer.fresh(code)
+    learnt = sorted(parts.filter("chunk < 0").select("n", "weights", "refine").collect(), key=lambda r: (r.n, bytes(r.weights)))  # one row a task
+    tables = [states[a:b] for a, b in zip(OFFSETS[:-1], OFFSETS[1:], strict=True)]
+    if not learnt:
+        return tables, fresh.weights, fresh.refine
+    share = np.array([r.n for r in learnt]) / sum(r.n for r in learnt)
+    weights, refine = (np.tensordot(share, [np.frombuffer(r[k]).reshape(x.shape) for r in learnt], 1) for k, x in (("weights", fresh.weights), ("refine", fresh.refine)))
+    return tables, weights, refine
+
+
+def packed(states: list[np.ndarray]) -> bytes:
+    """Compressed: every node keeps broadcast values on its disk."""
+    return pa.compress(np.concatenate(states), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    states = np.frombuffer(pa.decompress(data, 2 * SLOTS, codec="zstd"), np.uint16)
+    return [states[a:b] for a, b in zip(OFFSETS[:-1], OFFSETS[1:], strict=True)]
+
+
+def with_count(lm: np.ndarray, c: np.ndarray, total: int) -> np.ndarray:
+    """log10 of a word's probability from the bits', mixed with its share of all training words."""
+    a = lm + np.log10(1 - WORD_SHARE)
+    b = np.log10(np.maximum(c, 1) * (WORD_SHARE / max(total, 1)))
+    return np.where(c > 0, np.logaddexp(a / LOG10_E, b / LOG10_E) * LOG10_E, a)
+
+
+def with_count_column(lm, c, total: int):
+    """The same for columns."""
+    a = lm + float(np.log10(1 - WORD_SHARE))
+    b = F.log10(c * (WORD_SHARE / max(total, 1)))
+    most = F.greatest(a, b)
+    return F.when(c > 0, most + F.log10(1 + F.pow(F.lit(10.0), F.least(a, b) - most))).otherwise(a)
+
+
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 17) -> DataFrame:
     """Scores of whole texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from documents whose crc32(doc_id as text) mod ``modulus`` is not ``held`` (a null id counts as
     empty text). base_score adds log10((c+1)/(N+V+1)) over words and end mark; score is the mixed model's log10
-    probability of the text as a stream. A null text counts as empty: its end mark is its only token. Repeated rows are scored each,
-    an empty table gives an empty result, and a word of any length is one word.
+    probability of the text. A null text counts as empty: its end mark is its only token. Repeated rows are scored
+    each, an empty table gives an empty result, a word of any length is one word, a very long text is worked off in
+    batches, and other columns are not read.
 
     The ``hot_words`` most frequent words travel to all tasks as one bounded table, so a frequent word never
-    makes a hot key; all others are joined by word, a row for each word of a document.
+    makes a hot key; all others are joined by word, a row for each place of one in a document.
     """
     spark: SparkSession = docs.sparkSession
-    vocabulary = written(count_words(docs, modulus, held), "words")
+    plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    vocabulary = written(count_words(plain, modulus, held), "words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    plain_docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    counts, weights, refine = fit_mixer(plain_docs, modulus, held)
+    code = Code(byte_histogram(vocabulary))
+    states, weights, refine = learn_contexts(plain, code, modulus, held)
+    contexts_ = spark.sparkContext.broadcast(packed(states))
     top = vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     hot = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["c"].to_numpy()))
-    # a row for each document with its hot words' sums (its key holds a blank, so no word), and one for each other word of it
-    line = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("times", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("bytes", pa.int64())])
+    # a row for each batch of a document with its hot words' sums (its key holds a blank, so no word), and one for each place of another word
+    line = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("bytes", pa.int64())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, c = hot.value
-        mixer = BitMixer(unpacked(counts.value), weights, refine)
+        names, hot_counts = hot.value
         number = {w: i for i, w in enumerate(names)}
-        logc, known = np.log10(c + 1.0), (c > 0).astype(np.int64)
-        row = TaskContext.get().partitionId() << 40
+        mixer, tables = BitMixer(code, weights, refine), unpacked(contexts_.value)
+        first = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            rows, words, times = [], [], []
-            scores = mixer.log10([stream(t) for t in texts])
-            for doc, text, lm in zip(docs_, texts, scores.tolist(), strict=True):
-                tokens_ = Counter((text or b"").lower().split())
-                tokens_[b""] += 1
-                at, n = [], []
-                size = sum(tokens_.values())
-                length = sum(len(w) * m for w, m in tokens_.items()) + size
-                for w, m in tokens_.items():
-                    i = number.get(w)
-                    if i is None:
-                        rows.append(row)
-                        words.append(w)
-                        times.append(m)
-                    else:
-                        at.append(i)
-                        n.append(m)
-                at, n = np.array(at, np.int64), np.array(n, np.int64)
-                rows.append(row)
-                words.append(b" %d" % row)
-                times.append((doc, size, int(known[at] @ n), float(logc[at] @ n), lm, length))
-                row += 1
-            plain = [isinstance(t, int) for t in times]
-            cols = [[None if p else t[k] for p, t in zip(plain, times, strict=True)] for k in range(6)]
-            cols[1] = [t if p else t[1] for p, t in zip(plain, times, strict=True)]
-            yield table(line, rows, cols[0], pa.array(words, pa.binary()).cast(pa.string()), *cols[1:])
-
-    lines = plain_docs.mapInArrow(look_up, "row long, doc_id long, word string, times long, known long, base double, lm double, bytes long")
+            for some in batches_of(texts):
+                lm = mixer.log10(some, tables)
+                at = np.fromiter((number.get(k, -1) for k in some.keys), np.int64, len(some.keys))
+                c = np.where(at >= 0, hot_counts[at] if len(hot_counts) else 0, -1)[some.words]
+                size = np.fromiter((0 if k is None else len(k) + 1 for k in some.keys), np.int64, len(some.keys))[some.words]
+                here, doc = c >= 0, some.doc
+                sums = lambda x, w=None, doc=doc: np.bincount(doc, x if w is None else np.where(w, x, 0), len(texts))
+                n = np.bincount(doc, minlength=len(texts))
+                which = np.flatnonzero(n)
+                heads = (first + which, pa.array([docs_[i] for i in which], pa.int64()), [" "] * len(which), n[which], sums(c > 0)[which].astype(np.int64), sums(np.log10(np.maximum(c, 0) + 1.0), here)[which], sums(with_count(lm, c, tokens), here)[which], sums(size)[which].astype(np.int64))
+                yield table(line, *heads)
+                rest = np.flatnonzero(~here)
+                if len(rest):
+                    spelled = pa.array([None if k is None else k for k in some.keys], pa.binary()).take(pa.array(some.words[rest])).cast(pa.string())
+                    none = pa.nulls(len(rest), pa.int64())
+                    yield table(line, first + doc[rest], none, spelled, none, none, pa.nulls(len(rest), pa.float64()), lm[rest], none)
+            first += len(texts)
+
+    lines = plain.mapInArrow(look_up, "row long, doc_id long, word string, n long, known long, base double, lm double, bytes long")
     joined = lines.join(vocabulary.select("word", "c"), "word", "left")
-    head = F.startswith("word", F.lit(" "))
+    head = F.col("n").isNotNull()
     sums = joined.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
-        F.sum(F.when(head, F.col("times"))).alias("n_tokens"),
-        F.sum(F.when(head, F.col("known")).otherwise(F.when(F.col("c") > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        F.sum(F.when(head, F.col("base")).otherwise(F.log10(F.col("c") + 1) * F.col("times"))).alias("base"),
-        F.sum("lm").alias("score"),
+        F.sum("n").alias("n_tokens"),
+        F.sum(F.when(head, F.col("known")).otherwise(F.when(F.col("c") > 0, 1).otherwise(0))).alias("n_known"),
+        F.sum(F.when(head, F.col("base")).otherwise(F.log10(F.col("c") + 1))).alias("base"),
+        F.sum(F.when(head, F.col("lm")).otherwise(with_count_column(F.col("lm"), F.col("c"), int(tokens)))).alias("score"),
         F.sum("bytes").alias("n_bytes"),
     )
     text_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")

@@ -61,16 +61,56 @@ def test_quality_of_odd_documents(spark, odd, empty, labels):
 # --- mixing ---------------------------------------------------------------------------------------
 
 
-def test_mixing_meets_targets(spark):
+@pytest.mark.parametrize("targets", [X.TARGETS, {(1, 0): 0.25, (1, 1): 0.25, (0, 0): 0.25, (0, 1): 0.25}, {(1, 0): 1.0, (1, 1): 0.0, (0, 0): 0.01, (0, 1): 0.01}])
+def test_mixing_meets_targets(spark, targets):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
-    rows = X.mixing_rates(docs, labels).toPandas()
+    rows = X.mixing_rates(docs, labels, targets, keep=["doc_id"]).toPandas()
     names = [c for c in rows if c.startswith("p_")]
     assert rows[names].sum(axis=1).to_numpy() == pytest.approx(1.0)
     assert (rows.rate >= 0).all()
     totals = (rows[names].mul(rows.rate * rows.n_tokens, axis=0)).sum()
-    want = {f"p_quality{q}_toxic{t}": s for (q, t), s in X.TARGETS.items()}
-    for c in names:
-        assert totals[c] / totals.sum() == pytest.approx(want[c], abs=2e-3)
+    if not min(targets.values()):  # posteriors are never zero, so a domain can't be emptied whole; and the caller sees it
+        assert rows.target_miss.min() > 1e-6
+    else:
+        assert rows.target_miss.max() <= 1e-6
+        for (q, t), s in targets.items():
+            assert totals[f"p_quality{q}_toxic{t}"] / totals.sum() == pytest.approx(s / sum(targets.values()), rel=1e-4)
+
+
+def plain_fit(n: np.ndarray, p: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Least squares by the plain projected gradient, however slow."""
+    metric = np.linalg.inv((p * n[:, None]).T @ p)
+    r = np.ones(len(n))
+    for _ in range(20_000):
+        off = (r * n) @ p - target
+        r = np.maximum(0, r - p @ (metric @ off))
+    return (r * n) @ p
+
+
+def test_fit_comes_close_to_the_plain_gradient(spark):
+    """Also where no nonnegative rates meet the targets."""
+    g = np.random.default_rng(3)
+    p, n = g.dirichlet([2, 2, 2], 60), g.integers(1, 90, 60)
+    small = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    for shares in ([0.5, 0.3, 0.2], [0.98, 0.01, 0.01], [0.9, 0.09, 0.01]):
+        target = np.array(shares) * (n @ p)[0] / shares[0]
+        steps, miss = X.fit_steps(small, shares)
+        got = (X.rates_of(p, steps) * n) @ p
+        assert miss == pytest.approx((abs(got - target) / target).max(), abs=1e-9)
+        want = plain_fit(n, p, target)
+        metric = np.linalg.inv((p * n[:, None]).T @ p)
+        far = lambda x: (x - target) @ metric @ (x - target)
+        assert far(got) <= 1.25 * far(want) + 1e-6 * (target @ metric @ target)  # the last hundredths of the way are left
+
+
+def test_posteriors_equal_the_plain_sum():
+    r = np.random.default_rng(4)
+    model = X.DomainClassifier(3)
+    model.words[:], model.shares[:] = r.normal(size=model.words.shape), r.normal(size=model.shares.shape)
+    docs = [X.features(t) for t in ("some words some", "", "| a | b |", "x" * 500, "Ünï")]
+    for (at, shares, _), got in zip(docs, model.posterior(docs), strict=True):
+        z = shares @ model.shares + (sum(model.words[i] for i in at) / math.sqrt(len(at)) if len(at) else 0)
+        assert got == pytest.approx(np.exp(z) / np.exp(z).sum())
 
 
 def test_rates_equal_the_plain_iteration():
@@ -88,8 +128,10 @@ def test_rates_equal_the_plain_iteration():
 def test_mix_repeats_by_rate(spark, odd, empty, labels):
     rated = X.mixing_rates(odd, labels)
     assert rated.count() == len(odd_rows())
+    assert rated.select("rate", "n_tokens").dtypes == [("rate", "double"), ("n_tokens", "bigint")]
     mixed = X.mix(odd, labels)
-    assert mixed.columns == odd.columns
+    assert mixed.dtypes == odd.dtypes
+    assert {tuple(r) for r in mixed.collect()} <= {tuple(r) for r in odd.collect()}
     rates = {(r.doc_id, r.text): r.rate for r in rated.collect()}
     times = Counter((r.doc_id, r.text) for r in mixed.collect())
     rows = Counter((d, t) for d, t, *_ in odd_rows())
@@ -102,91 +144,129 @@ def test_mix_repeats_by_rate(spark, odd, empty, labels):
 # --- text scores ----------------------------------------------------------------------------------
 
 
-def slow_log10(mixer: M.BitMixer, word: bytes) -> float:
-    """The word's probability bit by bit, from the model's own tables."""
+MASK = (1 << 64) - 1
+
+
+def slow_spread(x: int) -> int:
+    x ^= x >> 29
+    x = x * int(M.MIX) & MASK
+    return x ^ x >> 32
+
+
+def slow_hashes(before: bytes, unit: bytes, i: int) -> list[int]:
+    """Context hashes of place i of a unit, after the unit before it."""
+    power = [1]
+    for _ in range(len(unit) + len(before)):
+        power.append(power[-1] * (int(M.PRIME) | 1) & MASK)
+    text = before + unit[:i]
+    out = []
+    for k in M.LAST:
+        last = sum((c + 1) * 257**j for j, c in enumerate(text[::-1][:k]))
+        out.append(slow_spread((last * int(M.PRIME) + k) & MASK))
+    begin = slow_spread((sum((c + 1) * power[j] for j, c in enumerate(unit[:i])) * int(M.PRIME) + 5 + i) & MASK)
+    whole = slow_spread((sum((c + 1) * power[j] for j, c in enumerate(before)) * int(M.PRIME) + 8) & MASK) if before else 0
+    return [h >> 32 for h in (*out, begin, slow_spread((begin * int(M.PRIME) + whole + 7) & MASK))]
+
+
+def slow_units(text: bytes) -> list[tuple[bytes, bytes]]:
+    """(unit before, unit) of a text, its end mark last."""
+    units = [u for w in [*text.lower().split(), b""] for u in map(M.unit_bytes, M.parts(w))]
+    return list(zip([b"", *units], units, strict=False))
+
+
+def slow_events(code: M.Code, pairs: list[tuple[bytes, bytes]]):
+    """(slot of each predictor, bit) one after the other."""
+    for before, unit in pairs:
+        for i, c in enumerate(unit):
+            hashes = slow_hashes(before, unit, i)
+            for j in range(code.start[c], code.start[c] + code.length[c]):
+                yield [(h ^ int(code.turn[j])) & ((1 << b) - 1) for h, b in zip(hashes, M.TABLE_BITS, strict=True)], int(code.bit[j])
+
+
+def slow_score(mixer: M.BitMixer, states: list, text: bytes) -> float:
+    """log10 of a text's probability bit by bit, before words' counts."""
     total = 0.0
-    raw, _, ctx = M.contexts([word])
-    for place in range(len(raw)):
-        known = 1
-        for k in range(8):
-            bit = int(raw[place]) >> (7 - k) & 1
-            st_, total_seen = [], []
-            for o, bits in enumerate(M.TABLE_BITS):
-                mask = (1 << 64) - 1
-                h = (int(ctx[o, place]) + known * int(M.PRIME)) & mask
-                h ^= h >> 29
-                h = h * int(M.STEP) & mask
-                h ^= h >> 32
-                slot = (h & ((1 << bits) - 1)) + int(M.OFFSETS[o])
-                n0, n1 = float(mixer.counts[0][slot]), float(mixer.counts[1][slot])
-                p = (n1 + 0.02) / (n0 + n1 + 0.04)
-                st_.append(math.log(p / (1 - p)) if n0 + n1 else 0.0)
-                total_seen.append(n0 + n1)
-            seen = min(int(math.log2(total_seen[4] + 1)), 7)
-            gate = seen * 4 + int(min(math.log2(total_seen[3] + 1) / 2, 3))
-            x = max(-20, min(20, sum(w * s for w, s in zip(mixer.weights[gate], st_, strict=True))))
-            p = 1 / (1 + math.exp(-x))
-            if abs(x) < 7:
-                at = min(max(x * 2 + 16, 0), M.BUCKETS - 1.001)
-                low = int(at)
-                fine = mixer.refine[k, seen, low] * (1 - at + low) + mixer.refine[k, seen, low + 1] * (at - low)
-                p = (p + fine) / 2
-            total += math.log10(p if bit else 1 - p)
-            known = known * 2 + bit
+    for slots, bit in slow_events(mixer.code, slow_units(text)):
+        st_, seen = [], []
+        for table, slot in zip(states, slots, strict=True):
+            n0, n1 = (M.COUNT_OF[x] for x in divmod(int(table[slot]), M.LEVELS))
+            st_.append(math.log((n1 + 0.02) / (n0 + 0.02)))
+            seen.append(sum(n0 + n1 >= x for x in (1, 2, 5, 17, 257)))
+        gate = seen[-2] * M.CONF + seen[-1]
+        x = max(-20, min(20, sum(w * s for w, s in zip(mixer.weights[:, gate], st_, strict=True))))
+        p = 1 / (1 + math.exp(-x))
+        if abs(x) < 7:
+            p = (p + mixer.refine[seen[-2], round(x * 2) + M.BUCKETS // 2]) / 2
+        total += math.log10(max(1e-7, p if bit else 1 - p))
     return total
 
 
+TEXTS = [b"The zebra and the theory of A zebra", b"", "né 日本 x".encode(), b"x" * 3000 + b" the " + b"ab" * 700, b"the  the\tthe\nthe", b"\x00 \xff"]
+
+
 @pytest.fixture(scope="module")
-def mixer():
-    words = [b"the", b"then", b"there", b"a", b"", b"zebra", "café".encode()]
-    counts = np.zeros((2, M.OFFSETS[-1]), np.float32)
-    M.count_bits(words, np.array([50, 9, 7, 30, 20, 1, 2], float), counts)
-    out = M.BitMixer.fresh(counts)
-    first = out.learn(words * 3)
-    for _ in range(40):
-        last = out.learn(words * 3)
-    assert last < first
-    return out
-
-
-def test_scores_equal_bit_by_bit(mixer):
-    words = [b"the", b"", b"theory", b"x" * 300, "né".encode(), b"\x00", b"zebra"]
-    assert mixer.log10(words, batch_bytes=8) == pytest.approx([slow_log10(mixer, w) for w in words], rel=1e-9)
-
-
-def test_probabilities_sum_to_one(mixer):
-    """Over all bytes that may follow a beginning."""
-    for beginning in (b"", b"th", b"q"):
-        follow = [beginning + bytes([b]) for b in range(256) if b not in (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)]
-        base = {}
-        for w in [*follow, beginning]:
-            raw, _, ctx = M.contexts([w])
-            cost = np.zeros(len(raw))
-            for k, bit, slots in M.bit_slots(raw, ctx):
-                p = mixer._mix(k, *mixer._parts(bit, slots, 0.0))[1]
-                cost += np.log(np.where(bit == 1, p, 1 - p))
-            base[w] = cost[len(beginning)]
-        blanks = 5  # bytes that no word holds besides the blank
-        assert 0.9 < sum(math.exp(x) for x in base.values()) <= 1 + 1e-9, blanks
-
-
-def test_contexts_reach_over_blanks():
-    text = M.stream(b"one two three " * 30)
-    raw, _, ctx = M.contexts([text])
-    for i in (20, 25, len(raw) - 8):
-        for k, o in M.ORDERS.items():
-            same = [j for j in range(k, len(raw)) if raw[j - k : j].tobytes() == raw[i - k : i].tobytes()]
-            assert [j for j in range(k, len(raw)) if ctx[o, j] == ctx[o, i]] == same
-    begins = [0] + [j + 1 for j in range(len(raw) - 1) if raw[j] == 0x20]
-    pair = lambda j: (lambda n: (raw[begins[n - 1] : begins[n]].tobytes() if n else b"", raw[begins[n] : j].tobytes()))(max(n for n, b in enumerate(begins) if b <= j))
-    pairs = [pair(j) for j in range(len(raw))]
-    assert len(set(pairs)) == len(set(ctx[7].tolist())) == len(set(zip(pairs, ctx[7].tolist(), strict=True)))
-
-
-def test_pieces_score_as_the_whole(mixer):
-    text = M.stream(b"the zebra a then there x " * 400)
-    assert len(list(M.pieces(text, 1 << 10))) > 5
-    assert mixer.log10([text], batch_bytes=1 << 10) == pytest.approx(mixer.log10([text], batch_bytes=1 << 20), rel=1e-12)
+def learnt():
+    r = random.Random(1)
+    texts = [*TEXTS, *(" ".join(r.choice(["the", "then", "zebra", "a", "of", "né", "x1"]) for _ in range(60)).encode() for _ in range(60))]
+    histogram = np.bincount(np.frombuffer(b" ".join(texts), np.uint8), minlength=256)
+    mixer, counts = M.BitMixer.fresh(M.Code(histogram)), M.no_counts()
+    (batch,) = M.batches_of(texts)
+    first = mixer.learn(batch, counts)
+    once = [c.copy() for c in counts]
+    assert mixer.learn(batch, counts) < first
+    return texts, mixer, once
+
+
+def test_counts_equal_bit_by_bit(learnt):
+    texts, mixer, counts = learnt
+    want = [Counter() for _ in M.TABLE_BITS]
+    for text in texts:
+        for slots, bit in slow_events(mixer.code, slow_units(text)):
+            for c, s in zip(want, slots, strict=True):
+                c[s, bit] += 1
+    for got, c in zip(counts, want, strict=True):
+        assert {(s, y): n for s in np.flatnonzero(got).tolist() for y, n in ((0, int(got[s] & M.HALF)), (1, int(got[s] >> 32))) if n} == c
+
+
+def test_scores_equal_bit_by_bit(learnt):
+    _, mixer, counts = learnt
+    states = [M.states_of(c) for c in counts]
+    texts = [*TEXTS, b"unheard of words", b"zebra " * 50]
+    for limit in (1 << 20, 40):  # small batches cut texts anywhere between words
+        got = np.zeros(len(texts))
+        for batch in M.batches_of(texts, limit):
+            got += np.bincount(batch.doc, mixer.log10(batch, states), len(texts))
+        assert got == pytest.approx([slow_score(mixer, states, t) for t in texts], rel=2e-4)
+
+
+def test_probabilities_sum_to_one(learnt):
+    """Over the words of up to two bytes and all longer ones' beginnings: what the code spells is prefix-free."""
+    _, mixer, counts = learnt
+    assert sum(0.5 ** int(n) for n in mixer.code.length) == 1
+    states = [M.states_of(c) for c in counts]
+    total = 0.0
+    for c in range(256):
+        pairs, bits = [(b"the ", b"z" + bytes([c]))], mixer.code.length[ord("z")]
+        p = 1.0
+        for (slots, bit), k in zip(slow_events(mixer.code, pairs), itertools.count()):
+            if k >= bits:
+                p *= 10 ** slow_bit(mixer, states, slots, bit)
+        total += p
+    assert total == pytest.approx(1, abs=1e-3)
+
+
+def slow_bit(mixer, states, slots, bit) -> float:
+    found = [np.array([t[s]]) for t, s in zip(states, slots, strict=True)]
+    _, x, cell = mixer.mixed([M.STRETCHED.take(s) for s in found], M.CONFIDENCE.take(found[-2]), M.CONFIDENCE.take(found[-1]))
+    p = float(mixer.probability(x, cell)[0])
+    return math.log10(p if bit else 1 - p)
+
+
+@given(st.integers(0, 1 << 40), st.integers(0, 1 << 40))
+def test_levels_keep_order_and_size(a, b):
+    x, y = M.level_of(np.array([a, b]))
+    assert (x <= y) if a <= b else (x >= y)
+    assert M.COUNT_OF[x] == pytest.approx(a, rel=0.3)
 
 
 def test_order_of_words_counts(spark):
@@ -199,41 +279,64 @@ def test_order_of_words_counts(spark):
     probe = next(i for i in range(1000, 2000) if M.remainder(i, 7) == 2)
     other = next(i for i in range(probe + 1, 3000) if M.remainder(i, 7) == 2)
     docs = spark.createDataFrame([*train, (probe, body), (other, " ".join(mixed))], "doc_id long, text string")
-    score = {r.doc_id: r.score for r in M.score_texts(docs).collect()}
-    assert score[probe] > score[other] * 0.8
-
-
-def test_weights_learn_from_all_training_tokens(spark):
-    r = random.Random(8)
-    words = ["".join(r.choice("abcde") for _ in range(2)) for _ in range(40)]
-    rows = [(i, " ".join(r.choice(words) for _ in range(2000))) for i in range(36)]
-    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "doc_id long, text string")
-    counts, weights, refine = M.fit_mixer(docs, 7, 2)
-    plain = M.BitMixer.fresh(M.unpacked(counts.value))
-    texts = [M.stream(t.encode()) for i, t in rows if M.remainder(i, 7) != 2]
-    assert sum(len(t.split()) for t in texts) > 40_000
-    for _, some, leads in M.batched(texts, 1 << 12):
-        plain.learn(some, leads)
-    assert weights == pytest.approx(plain.weights) and refine == pytest.approx(plain.refine)
+    got = {r.doc_id: r for r in M.score_texts(docs).collect()}
+    assert got[probe].score > got[other].score * 0.8 and got[probe].base_score == pytest.approx(got[other].base_score)
 
 
 def check_scores(docs, modulus=7, held=2):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    tokens = [[*(t or "").encode().lower().split(), b""] for _, t in rows]
+    """Base columns by plain counts; scores bit by bit from plain counts of all training texts, with the weights that were learnt."""
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+    tokens = [[*t.lower().split(), b""] for _, t in rows]
     outs = [zlib.crc32(b"" if d is None else str(d).encode()) % modulus == held for d, _ in rows]
     c = Counter(w for ws, out in zip(tokens, outs, strict=True) if not out for w in ws)
     n, v = sum(c.values()), len(c)
+    seen = {}
+    learn = M.learn_contexts
+    try:
+        M.learn_contexts = lambda d, code, m, h: seen.setdefault("got", (code, learn(d, code, m, h)))[1]
+        got = M.score_texts(docs, modulus, held, hot_words=50).collect()
+    finally:
+        M.learn_contexts = learn
+    code, (states, weights, refine) = seen["got"]
+    counts = [Counter() for _ in M.TABLE_BITS]
+    for (_, text), out in zip(rows, outs, strict=True):
+        if not out:
+            for slots, bit in slow_events(code, slow_units(text[:4000])) if len(text) < 4000 else ():
+                for k, s in zip(counts, slots, strict=True):
+                    k[s, bit] += 1
+    if all(len(t) < 4000 for _, t in rows):
+        for table, k in zip(states, counts, strict=True):
+            want = {s: int(M.level_of(np.array([k[s, 0]]))[0]) * M.LEVELS + int(M.level_of(np.array([k[s, 1]]))[0]) for s, _ in k}
+            assert {int(s): int(table[s]) for s in np.flatnonzero(table)} == want
+    mixer = M.BitMixer(code, weights, refine)
+
+    def score(text: bytes) -> float:
+        total = 0.0
+        units = slow_units(text)
+        by_word = [[]]
+        for pair in units:
+            by_word[-1].append(pair)
+            if pair[1].endswith(b" "):
+                by_word.append([])
+        for word, pairs in zip([*text.lower().split(), b""], by_word, strict=False):
+            lm = sum(slow_bit(mixer, states, slots, bit) for slots, bit in slow_events(code, pairs))
+            p = 15 / 16 * 10.0**lm + c[word] / max(n, 1) / 16
+            total += math.log10(p) if p > 0 else lm + math.log10(15 / 16)
+        return total
+
     want = sorted((repr(d), out, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 5)) for (d, _), ws, out in zip(rows, tokens, outs, strict=True))
-    got = M.score_texts(docs, hot_words=50).collect()
     assert sorted((repr(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in got) == want
-    assert all(r.score < 0 and r.bits_per_byte > 0 for r in got)
+    assert all(r.score < 0 and r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_bytes) for r in got)
+    short = [(d, t) for d, t in rows if len(t) < 400][:12]
+    for d, t in short:
+        assert any(r.doc_id == d and r.score == pytest.approx(score(t), rel=2e-4) for r in got), (d, t)
     return got
 
 
 def test_scores_of_documents(spark):
     got = check_scores(spark.read.parquet(f"{SF}/documents.parquet"))
     per_byte = [-sum(r.score for r in got if r.held_out == h) / math.log10(2) / sum(r.n_bytes for r in got if r.held_out == h) for h in (False, True)]
-    assert per_byte[0] < 2.6 and per_byte[1] < 3.0
+    assert per_byte[0] < 2.3 and per_byte[1] < 2.6
 
 
 def test_scores_of_odd_documents(spark, odd, empty):
@@ -243,6 +346,12 @@ def test_scores_of_odd_documents(spark, odd, empty):
     check_scores(odd.filter("doc_id is not null and crc32(cast(cast(doc_id as string) as binary)) % 7 = 2"))
 
 
+def test_all_scores_of_short_documents(spark):
+    r = random.Random(12)
+    words = [f"{a}{b}" for a in "abcdef" for b in ("", "x", "ly", "ing")]
+    check_scores(spark.createDataFrame([(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(40)], "doc_id long, text string"))
+
+
 # --- personal data --------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -271,7 +380,7 @@ def test_segmentation_is_the_best_of_all(seed):
     """Dynamic programming against all ways to choose segments that don't overlap."""
     weights = P.fitted_weights()
     text = P.training_sentences(1, 500 + seed)[0][0][:70]
-    n, segs = P.segments(text, 0, len(text))
+    n, segs = P.segments(text)
     segs = sorted(segs, key=lambda s: -P.score(weights, s[5]))[:14]
 
     def best(at: int, chosen: int) -> float:
@@ -284,8 +393,8 @@ def test_segmentation_is_the_best_of_all(seed):
             out = max(out, P.score(weights, mine[5]) + best(at + 1, chosen | cover))
         return out
 
-    found = {(a, k, b) for a, k, b in P.decode(weights, text, 0, len(text))}
-    got = sum(P.score(weights, s[5]) for s in P.segments(text, 0, len(text))[1] if (s[2], s[4], s[3]) in found)
+    found = {(a, k, b) for a, k, b in P.decode(weights, text, P.all_tokens(text))}
+    got = sum(P.score(weights, s[5]) for s in P.segments(text)[1] if (s[2], s[4], s[3]) in found)
     assert got == pytest.approx(best(0, 0))
 
 
@@ -293,14 +402,37 @@ def test_spans_of_new_sentences():
     weights = P.fitted_weights()
     right = total = extra = 0
     for text, gold in P.training_sentences(300, 99):
-        got = set(P.decode(weights, text, 0, len(text)))
+        got = set(P.decode(weights, text, P.all_tokens(text)))
         right, total, extra = right + len(got & set(gold)), total + len(gold), extra + len(got - set(gold))
     assert right >= 0.97 * total and extra <= 0.03 * total
 
 
+ODD = st.lists(st.sampled_from([*"ab12@.+-() \n_é", "²", "④", "٣", "10.0.0.1", "a@b.com", " [at] ", "(dot)", "4111 1111 1111 1111", "+1 (576) 555-5202", "of the ", "  "]), max_size=120).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(ODD)
+def test_near_triggers_as_in_the_whole_text(text):
+    weights = P.fitted_weights()
+    assert P.field_spans(weights, text) == P.decode(weights, text, P.all_tokens(text))
+    base, both = P.all_spans(text, weights)
+    assert set(base) <= set(both) and base == slow_base(text)
+    P.redact(text, weights)
+
+
+def test_far_ends_of_a_span():
+    weights = P.fitted_weights()
+    name = "n" * 90
+    text = f"write to {name} [at] example [dot] com today"
+    assert P.all_spans(text, weights)[1] == [(9, 0, text.index(" today"))]
+    filler = "word " * 300
+    assert P.field_spans(weights, filler + text + " " + filler + text) == P.decode(weights, filler + text + " " + filler + text, P.all_tokens(filler + text + " " + filler + text))
+    assert P.all_spans("10.0.0.1²", weights)[0] == [(0, 1, 8)]
+
+
 def test_long_runs_are_linear():
     weights = P.fitted_weights()
-    for text in ("a" * 200_000, "1" * 200_000, "1 " * 20_000, "+1" * 20_000, "a@" * 20_000, "1.1." * 10_000):
+    for text in ("a" * 200_000, "1" * 200_000, "1 " * 5_000, "+1" * 5_000, "a@" * 20_000, "1.1." * 2_000):
         P.all_spans(text, weights)
 
 
@@ -321,7 +453,9 @@ def test_pii_of_odd_documents(spark, odd, empty):
     found = next(r for r in rows if r.doc_id == 14)
     assert (found.n_email, found.n_ip, found.n_card, found.n_phone) == (1, 1, 1, 1)
     clean = P.redact_pii(odd)
-    assert clean.columns == odd.columns
+    assert clean.dtypes == odd.dtypes
+    rest = [c for c in odd.columns if c not in ("text", "n_chars")]
+    assert Counter(map(tuple, clean.select(rest).collect())) == Counter(map(tuple, odd.select(rest).collect()))
     row = next(r for r in clean.collect() if r.doc_id == 14)
     assert row.text == "mail [EMAIL] or [PHONE] or [IP] or [CARD] now" and row.n_chars == len(row.text)
     assert [r.text for r in clean.collect() if r.doc_id == 2] == [None]

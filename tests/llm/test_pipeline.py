@@ -2,7 +2,9 @@
 
 import zlib
 from collections import Counter
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
@@ -16,6 +18,27 @@ from tests.llm.test_simhash import slow_fingerprint, slow_groups
 from tests.oracle import tables
 
 
+def bad_lines(texts: dict) -> set:
+    """Lines that fail a rule, by the SQL of the rules: a text of that line twice and a long good line loses the line."""
+    lines = sorted({x for t in texts.values() for x in t.split("\n") if x.strip(" \t\n\x0b\x0c\r")})
+    con = duckdb.connect()
+    con.execute("create table lines (i bigint, s varchar)")
+    con.execute("insert into lines select unnest(?), unnest(?)", [list(range(len(lines))), lines])
+    return {lines[i] for (i,) in con.execute(f"select i from lines where {quality_rules.bad_line_sql()}").fetchall()}
+
+
+def without(text: str, bad: set) -> str:
+    """The text without bad lines and later copies; blank lines stay, as empty ones."""
+    seen, out = set(), []
+    for x in text.split("\n"):
+        if not x.strip(" \t\n\x0b\x0c\r"):
+            out.append("")
+        elif x not in bad and x not in seen:
+            seen.add(x)
+            out.append(x)
+    return "\n".join(out)
+
+
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
@@ -28,8 +51,10 @@ def test_stages(spark):
         return written(f(spark, docs, SF), "test-stage")
 
     good = step(docs, "quality rules")
-    assert good.columns == docs.columns
-    assert {r.doc_id: r.text for r in good.collect()} == {d: texts[d] for d in kept}
+    assert good.columns == docs.columns and good.dtypes == docs.dtypes
+    bad = bad_lines(texts)
+    texts = {d: without(texts[d], bad) for d in kept}
+    assert {r.doc_id: (r.text, r.n_chars) for r in good.collect()} == {d: (texts[d], len(texts[d])) for d in kept}
 
     ids = sorted(kept)
     groups = slow_groups([slow_fingerprint(texts[d]) for d in ids])
@@ -53,7 +78,6 @@ def test_stages(spark):
 
     packed = step(mixed, "best-fit packing").collect()
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     want: Counter = Counter()
     for d, n in times.items():
         all_ids = np.array([*t.encode(redacted[d], add_special_tokens=False).ids, 1], "<u4")
@@ -64,11 +88,22 @@ def test_stages(spark):
 
 
 def test_stages_take_odd_documents(spark, odd):
-    """Each stage alone, on all of the odd rows."""
+    """Each stage alone, on all of the odd rows; columns, also those with operators' names, keep values and types."""
     for k, (_, f) in enumerate(corpus_pipeline.STAGES):
         got = f(spark, odd, SF)
-        got.count()
-        assert k == 4 or got.columns == odd.columns
+        rows = got.collect()
+        if k < 4:
+            assert got.dtypes == odd.dtypes
+            other = [c for c in odd.columns if c not in ("doc_id", "text", "n_chars")]
+            assert {tuple(r[c] for c in other) for r in rows} <= {tuple(r[c] for c in other) for r in odd.collect()}
+
+
+def test_run_leaves_only_its_result(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert [p.name.split("-")[:2] for p in shared.iterdir() if p.name not in before] == [["stage", "best"]]
+
 
 
 def test_stages_take_no_documents(spark, empty):
@@ -76,7 +111,3 @@ def test_stages_take_no_documents(spark, empty):
     for _, f in corpus_pipeline.STAGES:
         docs = written(f(spark, docs, SF), "test-empty")
         assert docs.count() == 0
-
-
-def test_run(spark):
-    assert corpus_pipeline.run(spark, SF).count() > 0
