@@ -5,7 +5,7 @@ Everything stays in 64-bit integers below 2^63, so nothing overflows with ANSI a
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MASK32 = 0xFFFFFFFF
@@ -84,6 +84,13 @@ def expensive(repeats: int, t1: Column, t2: Column, t3: Column) -> tuple[Column,
     return t1, t2, t3
 
 
+def expensive_steps(rows: DataFrame, repeats: int, t1: str, t2: str, t3: str) -> DataFrame:
+    """The same chain on columns of rows, a projection for each product, so that long chains stay small expressions."""
+    for i in range(repeats):
+        rows = rows.withColumn(t1, wrapping_multiply(F.col(t2), F.col(t3))) if i % 3 == 0 else rows.withColumn(t3, wrapping_multiply(F.col(t1), F.col(t2)))
+    return rows
+
+
 def unit_text(value: Column) -> Column:
     """A count with its largest binary unit: 4194304 gives '4.0~Mi'; below 1024 the number itself."""
     out = value.cast("string")

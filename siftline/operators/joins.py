@@ -23,9 +23,10 @@ def anti(probe: DataFrame, build: DataFrame, probe_key: str, build_key: str) ->
 
 
 def lookup(probe: DataFrame, build: DataFrame, probe_key: str, build_key: str, payload: list[str]) -> DataFrame:
-    """Inner join with at most one match: of duplicate build keys the least payload holds, column by column."""
-    one = build.groupBy(F.col(build_key).alias("_b")).agg(*(F.min(c).alias(c) for c in payload))
-    return probe.join(one, F.col(probe_key) == F.col("_b")).drop("_b")
+    """Inner join with at most one match: of duplicate build keys the row of least payload holds, columns compared in order."""
+    one = build.groupBy(F.col(build_key).alias("_b")).agg(F.min(F.struct(*payload)).alias("_one"))
+    found = probe.join(one, F.col(probe_key) == F.col("_b"))
+    return found.select(*(probe[c] for c in probe.columns), *(F.col("_one")[c].alias(c) for c in payload))
 
 
 def pipelined(probe: DataFrame, steps: list[tuple[DataFrame, str, str]]) -> DataFrame:

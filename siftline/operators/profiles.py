@@ -20,6 +20,18 @@ def pivot_last(df: DataFrame, index: str, columns: str, values: str, order: list
     return out.select(index, *(F.col(f"`{v}`").alias(f"c_{v}") for v in labels))
 
 
+def labels(df: DataFrame, column: str) -> DataFrame:
+    """The distinct labels of a column, for a pivot's rows or columns."""
+    return df.select(F.col(column).alias("label")).distinct()
+
+
+def stage_rates(df: DataFrame, by: list[str], stages: list[str], places: int = 4) -> DataFrame:
+    """Rows a second of each stage, whose columns hold milliseconds, and of all stages together."""
+    total = sum((F.col(s) for s in stages[1:]), F.col(stages[0]))
+    rate = lambda ms: F.round(throughput(F.count(F.lit(1)), F.sum(ms)), places)
+    return df.groupBy(*by).agg(*(rate(F.col(s)).alias(f"{s}_rate") for s in stages), rate(total).alias("total_rate"))
+
+
 def join_cost(join_time: Column, filtered: Column) -> Column:
     """Join time a filtered row; no filtered rows stands for 2^30 unfiltered ones."""
     return join_time / F.when(filtered == 0, F.lit(GI)).otherwise(filtered)

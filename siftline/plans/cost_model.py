@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,9 +13,9 @@ SIZES_MIB = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512)
 LOOKUP_NS = {
     ("gtx1080", "pcie"): (0.3362, 0.3363, 0.4563, 0.6000, 0.6870, 0.7363, 0.7625, 0.7761, 0.7831, 0.7864),
     ("gtx1080", "cached"): (0.1553, 0.1844, 0.3866, 0.5551, 0.6556, 0.7134, 0.7445, 0.7606, 0.7688, 0.7728),
-    ("gtx1080ti", "pcie"): (0.3419, 0.3384, 0.3399, 0.3639, 0.4333, 0.4746, 0.5049, 0.5110, 0.5168, 0.5204),
-    ("gtx1080ti", "cached"): (0.1358, 0.1252, 0.1921, 0.3154, 0.3954, 0.4474, 0.4759, 0.4904, 0.4987, 0.5033),
-    ("gtx1050ti", "pcie"): (0.3420, 0.3393, 0.3401, 0.3759, 0.4479, 0.4856, 0.5112, 0.5209, 0.5266, 0.5250),
+    ("gtx1080ti", "pcie"): (0.3419, 0.3384, 0.3399, 0.3639, 0.4333, 0.4746, 0.5049, 0.5104, 0.5166, 0.5204),
+    ("gtx1080ti", "cached"): (0.1358, 0.1252, 0.1921, 0.3154, 0.3986, 0.4474, 0.4759, 0.4910, 0.4987, 0.5033),
+    ("gtx1050ti", "pcie"): (0.3420, 0.3393, 0.3401, 0.3759, 0.4469, 0.4856, 0.5009, 0.5244, 0.5268, 0.5250),
     ("gtx1050ti", "cached"): (0.1358, 0.1254, 0.1935, 0.3177, 0.3961, 0.4521, 0.4759, 0.4910, 0.5045, 0.5026),
 }
 BLOCK_BITS = 1024
@@ -115,9 +116,32 @@ def worth_it(lookup: float, work: float, selectivity: float, fpr: float) -> bool
     return lookup + work * (selectivity + (1 - selectivity) * fpr) < work
 
 
-def describe(words: int, sectors: int, zones: int, k: int, m: int, device: str, work_ps: int, probe_rows: int, build_rows: int, selectivity: float) -> str:
-    """One line with a filter's parameters, its rate, and whether it pays at the first tabulated size not below it."""
-    rate = fpr_sectorized(m, build_rows, words, sectors, zones, k)
-    name = {"CPU": ("gtx1080", "cached"), "GPU": ("gtx1080", "pcie")}[device]
-    pays = worth_it(lookup_ns(*name, m), work_ps / 1000, selectivity, rate)
-    return f"w {words} s {sectors} z {zones} k {k} m {m} {device} slowdown 0 filtersize {m} tw {work_ps} probe_size {probe_rows} build_size {build_rows} fpr{rate:.6g} sel {selectivity} {'smaller' if pays else 'NOT'}"
+def max_selectivity(lookup: float, work: float, fpr: float) -> float:
+    """The selectivity below which a filter saves time, as :func:`worth_it` has it; 0 if it never does."""
+    return 0.0 if work <= 0 or fpr >= 1 else max(0.0, (1 - fpr - lookup / work) / (1 - fpr))
+
+
+@dataclass(frozen=True)
+class FilterChoice:
+    """A filter of ``m`` bits and the time of a lookup in it, in nanoseconds, on one device."""
+
+    words: int
+    sectors: int
+    zones: int
+    k: int
+    m: int
+    lookup: float
+
+
+def describe(cpu: FilterChoice, gpu: FilterChoice, work_ps: int, probe_rows: int, build_rows: int, selectivity: float, slowdown: int = 0, filter_bits: int = 0) -> list[str]:
+    """A line for each device with its filter's parameters and rate, the selectivity, and up to which each device's filter pays.
+
+    Lookup times belong to the caller: none are published for CPUs, and :func:`lookup_ns` knows those of the GPUs.
+    """
+    rate = lambda f: fpr_sectorized(f.m, build_rows, f.words, f.sectors, f.zones, f.k)
+    limits = {name: max_selectivity(f.lookup, work_ps / 1000, rate(f)) for name, f in (("cpu", cpu), ("gpu", gpu))}
+    pays = " ".join(f"max_{name}_sel {x:.6g} smaller {'smaller' if selectivity < x else 'NOT'}" for name, x in limits.items())
+    return [
+        f"w {f.words} s {f.sectors} z {f.zones} k {f.k} m {f.m} {name}  slowdown {slowdown} filtersize {filter_bits} tw {work_ps} probe_size {probe_rows} build_size {build_rows} fpr {rate(f):.6g} sel {selectivity:g} {pays}"
+        for name, f in (("CPU", cpu), ("GPU", gpu))
+    ]

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.functions import hashing as H
-from siftline.operators import bloom, joins, profiles, timeline
+from siftline.operators import bloom, joins, morsels, profiles, timeline
 from siftline.plans import cost_model as cost
 from siftline.plans import experiments
 from siftline.plans.probe_query import ProbeQuery
+from siftline.session import ship_package
 from siftline.sources import files, generators
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-WORDS, K, BITS = 1 << 14, 4, 6
+BITS = 6
+SHAPE = bloom.Shape()
 URGENT = "o_orderpriority = '1-URGENT'"
 BUILD_SQL = f"(select o_orderkey from orders where {URGENT})"
 
@@ -37,11 +41,15 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _probe(spark: SparkSession, sf_dir: str) -> ProbeQuery:
-    return ProbeQuery(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders").filter(URGENT), "l_orderkey", "o_orderkey", WORDS, K, BITS)
+    return ProbeQuery(_t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "orders").filter(URGENT), "l_orderkey", "o_orderkey", bits=BITS)
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
     return f"{base.rstrip('/')}/siftline-{name}-{uuid.uuid4().hex}"
 
 
@@ -61,7 +69,7 @@ for _name, _strategy in (("probe_no_filter", "none"), ("probe_bloom", "bloom"),
 
 
 @query(f"""select cast(coalesce(sum(l_orderkey), 0) as bigint) as ksum, cast(coalesce(sum(p1) + sum(p2), 0) as bigint) as psum
-from lineitem join (select o_orderkey, min(o_custkey) as p1, min(cast(round(o_totalprice * 100) as bigint)) as p2 from orders where {URGENT} group by 1) b on l_orderkey = o_orderkey""")
+from lineitem join (select o_orderkey, o_custkey as p1, cast(round(o_totalprice * 100) as bigint) as p2 from orders where {URGENT} qualify row_number() over (partition by o_orderkey order by p1, p2) = 1) b on l_orderkey = o_orderkey""")
 def probe_inner_payload_sum(spark, sf_dir):
     build = _t(spark, sf_dir, "orders").filter(URGENT).select("o_orderkey", F.col("o_custkey").alias("p1"), F.round(F.col("o_totalprice") * 100).cast("long").alias("p2"))
     found = joins.lookup(_t(spark, sf_dir, "lineitem").select("l_orderkey"), build, "l_orderkey", "o_orderkey", ["p1", "p2"])
@@ -91,15 +99,30 @@ def expected_ksum(spark, sf_dir):
 
 # --- Bloom filters --------------------------------------------------------------------------------
 
-WORDS_SQL = f"select {bloom.word_sql('o_orderkey', WORDS)} as word, cast(bit_or({bloom.mask_sql('o_orderkey', K)}) as bigint) as bits from {BUILD_SQL} group by 1"
-FLAGS_SQL = f"""bf as ({WORDS_SQL}), p as (select l_orderkey, l_linenumber, {bloom.word_sql("l_orderkey", WORDS)} as word, {bloom.mask_sql("l_orderkey", K)} as mask from lineitem),
-flags as (select l_orderkey, l_linenumber, coalesce((bits & mask) = mask, false) as flag from p left join bf using (word))"""
+SIZE_SQL = f"size as (select {bloom.words_for_sql('count(*)')} as words from {BUILD_SQL})"
 
 
-def _flagged(spark, sf_dir) -> DataFrame:
+def _words_sql(shape: bloom.Shape) -> str:
+    """(word, bits) of the build side's filter, sized by its rows."""
+    pairs = bloom.words_and_masks_sql("h", "words", shape)
+    rows = " union all ".join(f"select {w} as word, {m} as mask from b" for w, m in pairs)
+    return f"""with {SIZE_SQL}, b as (select {H.hash32_sql("o_orderkey")} as h, words from {BUILD_SQL}, size), r as ({rows}) select word, cast(bit_or(mask) as bigint) as bits from r group by 1"""
+
+
+def _flags_sql(shape: bloom.Shape) -> str:
+    pairs = bloom.words_and_masks_sql("h", "words", shape)
+    tests = " and ".join(f"coalesce((select bits from bf where bf.word = {w}) & {m} = {m}, false)" for w, m in pairs)
+    return f"""{SIZE_SQL}, bf as ({_words_sql(shape)}), p as (select l_orderkey, l_linenumber, {H.hash32_sql("l_orderkey")} as h, words from lineitem, size), flags as (select l_orderkey, l_linenumber, {tests} as flag from p)"""
+
+
+WORDS_SQL, FLAGS_SQL = _words_sql(SHAPE), _flags_sql(SHAPE)
+
+
+def _flagged(spark, sf_dir, shape: bloom.Shape = SHAPE) -> DataFrame:
     q = _probe(spark, sf_dir)
+    q.shape = shape
     words, n = q.filter_words()
-    return bloom.flagged(q.probe.select("l_orderkey", "l_linenumber"), "l_orderkey", words, n, K)
+    return bloom.flagged(q.probe.select("l_orderkey", "l_linenumber"), "l_orderkey", words, n, shape)
 
 
 @query(WORDS_SQL)
@@ -116,7 +139,7 @@ def bloom_candidates(spark, sf_dir):
 def bloom_candidate_keys(spark, sf_dir):
     q = _probe(spark, sf_dir)
     words, n = q.filter_words()
-    return bloom.candidates(bloom.clustered(q.probe.select("l_orderkey"), "l_orderkey", BITS), "l_orderkey", words, n, K).select(F.col("l_orderkey").alias("key"))
+    return bloom.candidates(bloom.clustered(q.probe.select("l_orderkey"), "l_orderkey", BITS), "l_orderkey", words, n, SHAPE).select(F.col("l_orderkey").alias("key"))
 
 
 @query(f"with {FLAGS_SQL} select flag, count(*) as n from flags group by flag")
@@ -124,6 +147,24 @@ def bloom_flag_counts(spark, sf_dir):
     return _flagged(spark, sf_dir).groupBy("flag").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Blocks of several words, without and with sectors.
+SHAPES = {"block": bloom.Shape.parse("16,1,1,5"), "sector": bloom.Shape.parse("16,16,2,4"), "zone": bloom.Shape.parse("4,4,4,8")}
+for _name, _shape in SHAPES.items():
+    QUERIES[f"bloom_{_name}_words"] = lambda spark, sf_dir, shape=_shape: (lambda q: bloom.build(q.build, q.build_key, q.filter_words()[1], shape))(_probe(spark, sf_dir))
+    ORACLE_SQL[f"bloom_{_name}_words"] = _words_sql(_shape)
+    QUERIES[f"bloom_{_name}_flags"] = lambda spark, sf_dir, shape=_shape: _flagged(spark, sf_dir, shape).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("ksum"))
+    ORACLE_SQL[f"bloom_{_name}_flags"] = f"with {_flags_sql(_shape)} select flag, count(*) as n, cast(sum(l_orderkey) as bigint) as ksum from flags group by flag"
+
+
+@query(f"with {FLAGS_SQL} select l_orderkey as key, flag, l_linenumber as line from flags")
+def bloom_flags_in_hash_order(spark, sf_dir):
+    """The flags of all rows, clustered by hash and not compacted."""
+    q = _probe(spark, sf_dir)
+    words, n = q.filter_words()
+    rows = bloom.flagged(bloom.clustered(q.probe.select("l_orderkey", "l_linenumber"), "l_orderkey", BITS), "l_orderkey", words, n, SHAPE)
+    return rows.select(F.col("l_orderkey").alias("key"), "flag", F.col("l_linenumber").alias("line"))
+
+
 POSITION_SQL = "l_orderkey * 8 + l_linenumber - 1"
 BITMAP_SQL = f"with {FLAGS_SQL} select ({POSITION_SQL}) // 32 as word, cast(bit_or(case when flag then 1::bigint << (({POSITION_SQL}) % 32)::int else 0::bigint end) as bigint) as bits from flags group by 1"
 
@@ -147,12 +188,13 @@ def bitmap_to_selection(spark, sf_dir):
 def bloom_no_false_negative(spark, sf_dir):
     q = _probe(spark, sf_dir)
     words, n = q.filter_words()
-    return bloom.flagged(q.build.select("o_orderkey"), "o_orderkey", words, n, K).agg(F.count_if(~F.col("flag")).alias("n_missed"))
+    return bloom.flagged(q.build.select("o_orderkey"), "o_orderkey", words, n, SHAPE).agg(F.count_if(~F.col("flag")).alias("n_missed"))
 
 
 @query(f"""with {FLAGS_SQL}, b as (select distinct o_orderkey from {BUILD_SQL}), c as (select count(*) as pre_filter, count(*) filter (where flag) as post_filter,
 count(*) filter (where flag and l_orderkey in (select o_orderkey from b)) as post_join from flags)
-select *, round(100.0::double * post_filter / nullif(pre_filter, 0), 6) as filter_pct, round(100.0::double * post_join / nullif(post_filter, 0), 6) as join_pct from c""")
+select pre_filter, post_filter, post_filter as pre_join, post_join, pre_filter as filter_probed, pre_filter as filter_consumed, pre_filter as processed, pre_filter as morsel_rows,
+round(100.0::double * post_filter / nullif(pre_filter, 0), 6) as filter_pct, round(100.0::double * post_join / nullif(post_filter, 0), 6) as join_pct from c""")
 def pipeline_counters(spark, sf_dir):
     return _probe(spark, sf_dir).counters()
 
@@ -250,16 +292,38 @@ def scan_checksum(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").agg(F.sum("l_orderkey").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
-@query("select m as morsel, m * 16384 as begin_row, least((m + 1) * 16384, n) as end_row from (select count(*) as n from lineitem), (select unnest(range(100000)) as m) where m * 16384 < n")
+@query("select m as morsel, m * 16384 as begin_row, least((m + 1) * 16384, n) as end_row from (select count(*) as n from lineitem), (select unnest(range(n // 16384 + 1)) as m from (select count(*) as n from lineitem)) where m * 16384 < n")
 def morsel_ranges(spark, sf_dir):
-    n = _t(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n"))
-    ranges = n.filter("n > 0").select("n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 16384).cast("long"))).alias("morsel"))
-    return ranges.select("morsel", (F.col("morsel") * 16384).alias("begin_row"), F.least((F.col("morsel") + 1) * 16384, F.col("n")).alias("end_row"))
+    return morsels.ranges(_t(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("n")))
+
+
+NUMBERED_SQL = "o as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as position from orders)"
 
 
-@query("select o_orderkey // 1024 as vector, count(*) as n, cast(sum(o_orderkey) as bigint) as total from orders group by 1")
+def _numbered(spark, sf_dir) -> DataFrame:
+    return morsels.numbered(_t(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"with {NUMBERED_SQL} select position // 1024 as vector, count(*) as n, cast(sum(o_orderkey) as bigint) as total from o group by 1")
 def vector_chunks(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 1024).cast("long").alias("vector")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+    return _numbered(spark, sf_dir).groupBy(morsels.block_of(F.col("position"), morsels.VECTOR).alias("vector")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
+
+
+@query(f"with {NUMBERED_SQL} select position, o_orderkey as key from o")
+def identity_selection(spark, sf_dir):
+    return _numbered(spark, sf_dir).select("position", F.col("o_orderkey").alias("key"))
+
+
+@query("select cast(sum(l_orderkey) as bigint) as total, count(*) as n from lineitem")
+def morsel_totals(spark, sf_dir):
+    """Each task works off its rows a morsel at a time; the morsels' totals are added up."""
+
+    def add(rows: pa.Table) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"total": [pc.sum(rows["l_orderkey"]).as_py()], "n": [rows.num_rows]}, pa.schema([("total", pa.int64()), ("n", pa.int64())]))
+
+    ship_package(spark)
+    parts = morsels.map_morsels(_t(spark, sf_dir, "lineitem").select("l_orderkey"), add, "total long, n long")
+    return parts.agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 @query("select o_orderkey as key, 0 as p1, 0 as p2 from orders")
@@ -290,19 +354,32 @@ def latex_rows(spark, sf_dir):
     return files.latex_rows(_t(spark, sf_dir, "orders"), ["o_orderkey", "o_orderpriority", "o_custkey"])
 
 
-SWEEP = (("none", "bloom"), (1, 50), 512, 4096)
+def _answers_sql(strategies, points, build_rows: int, probe_rows: int) -> str:
+    rows = []
+    for st in strategies:
+        for pt in points:
+            ksum, n = generators.expected(build_rows, probe_rows, pt["percent"])
+            rows.append(f"select '{st}' as strategy, " + ", ".join(f"{pt.get(k, 0)}::bigint as {k}" for k in ("percent", "repeats", "words", "morsel_rows")) + f", {ksum}::bigint as ksum, {n}::bigint as n_matches")
+    return " union all ".join(rows)
 
 
-@query(" union all ".join(f"select '{st}' as strategy, {p} as percent, cast({generators.expected(512, 4096, p)[0]} as bigint) as ksum, cast({generators.expected(512, 4096, p)[1]} as bigint) as n_matches" for st in SWEEP[0] for p in SWEEP[1]))
-def experiment_selectivity(spark, sf_dir):
-    return experiments.answers(spark, *SWEEP)
+SWEEPS = {
+    "selectivity": (("none", "bloom"), experiments.grid(percent=(1, 50)), 512, 4096),
+    "expensive_op": (("none", "bloom"), experiments.grid(percent=(5,), repeats=(0, 2, 6)), 512, 4096),
+    "morsel": (("bloom",), experiments.grid(percent=(5,), morsel_rows=(512, 2048)), 512, 4096),
+    "op_by_filter_size": (("bloom",), experiments.grid(percent=(5,), repeats=(0, 3), words=(64, 1024)), 512, 4096),
+    "filter_size": (("bloom",), experiments.grid(percent=(5,), words=(32, 256, 4096)), 512, 4096),
+}
+for _name, _sweep in SWEEPS.items():
+    QUERIES[f"experiment_{_name}"] = lambda spark, sf_dir, a=_sweep: experiments.answers(spark, *a)
+    ORACLE_SQL[f"experiment_{_name}"] = _answers_sql(*_sweep)
 
 
-@query("select o_orderkey as key, o_orderpriority || ' --tw ' || o_custkey as value from orders where o_orderkey % 3 = 0")
+@query("select o_orderkey as key, o_orderpriority || ' --tw ' || o_custkey || ' --print_bf_conf=1' as value from orders where o_orderkey % 3 = 0")
 def log_lines_filter(spark, sf_dir):
     option = F.when(F.col("o_orderkey") % 3 == 0, F.lit(" --tw ")).otherwise(F.lit(" --gpu "))
     lines = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.concat("o_orderpriority", option, F.col("o_custkey").cast("string")).alias("value"))
-    return files.lines_with(lines, "--tw")
+    return files.lines_with(lines, "--tw", "--print_bf_conf=1")
 
 
 # --- cost model -----------------------------------------------------------------------------------
@@ -347,8 +424,15 @@ def fpr_sectorized(spark, sf_dir):
 
 
 MODEL_N, MODEL_TW = 1 << 22, 1.0
-LUT_SQL = ", ".join(f"('{d}', '{m}', {s}, {ns})" for (d, m), v in cost.LOOKUP_NS.items() for s, ns in zip(cost.SIZES_MIB, v, strict=True))
-GRID_SQL = f"""lut as (select * from (values {LUT_SQL}) t(device, mode, size_mib, ns)),
+#: The lookup times once more, as SQL, so that the model's own table is held against another.
+LUT_SQL = """select device, mode, unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512]) as size_mib, unnest(ns)::double as ns from (values
+('gtx1080', 'pcie', [0.3362, 0.3363, 0.4563, 0.6000, 0.6870, 0.7363, 0.7625, 0.7761, 0.7831, 0.7864]),
+('gtx1080', 'cached', [0.1553, 0.1844, 0.3866, 0.5551, 0.6556, 0.7134, 0.7445, 0.7606, 0.7688, 0.7728]),
+('gtx1080ti', 'pcie', [0.3419, 0.3384, 0.3399, 0.3639, 0.4333, 0.4746, 0.5049, 0.5104, 0.5166, 0.5204]),
+('gtx1080ti', 'cached', [0.1358, 0.1252, 0.1921, 0.3154, 0.3986, 0.4474, 0.4759, 0.4910, 0.4987, 0.5033]),
+('gtx1050ti', 'pcie', [0.3420, 0.3393, 0.3401, 0.3759, 0.4469, 0.4856, 0.5009, 0.5244, 0.5268, 0.5250]),
+('gtx1050ti', 'cached', [0.1358, 0.1254, 0.1935, 0.3177, 0.3961, 0.4521, 0.4759, 0.4910, 0.5045, 0.5026])) t(device, mode, ns)"""
+GRID_SQL = f"""lut as ({LUT_SQL}),
 c as (select size_mib, size_mib::bigint * {cost.MIB_BITS} as m, {MODEL_N}::bigint as n, k::int as k, {cost.BLOCK_BITS} as block from (select distinct size_mib from lut), (select unnest(range(1, 16)) as k)),
 {_pmf_sql("c", "m, n, k, block")}, f as (select size_mib, k, sum(pmf * {STD_SQL.format(n="i", b="block", k="k")}) as fpr from q group by all),
 grid as (select device, mode, size_mib, k, fpr, ns + fpr * {MODEL_TW} as overhead from f join lut using (size_mib))"""
@@ -440,6 +524,11 @@ def profile_pivot_mean(spark, sf_dir):
     return profiles.pivot_mean(_profile(spark, sf_dir), "filter_size", "slowdown", "pipeline_time", SLOW)
 
 
+@query(f"with {PROFILE_SQL} select distinct slowdown as label from p")
+def profile_labels(spark, sf_dir):
+    return profiles.labels(_profile(spark, sf_dir), "slowdown")
+
+
 @query(f"with {PROFILE_SQL} select filter_size, " + ", ".join(f"(max(row(l_orderkey, l_linenumber, pipeline_time)) filter (where slowdown = {v}))[3] as c_{v}" for v in SLOW) + " from p group by filter_size")
 def profile_pivot_last(spark, sf_dir):
     return profiles.pivot_last(_profile(spark, sf_dir), "filter_size", "slowdown", "pipeline_time", ["l_orderkey", "l_linenumber", "pipeline_time"], SLOW)
@@ -461,9 +550,19 @@ def mask_invalid(spark, sf_dir):
     return _profile(spark, sf_dir).select("l_orderkey", "l_linenumber", profiles.masked(F.col("pipeline_time"), F.col("slowdown"), F.col("filter_size")).alias("valid_time"))
 
 
-@query("select o_orderkey as line from orders where o_orderkey % 4 < 2")
+@query(f"with {NUMBERED_SQL} select position, o_orderkey as line from o where position % 4 < 2")
 def dedup_every_other_pair(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").filter(F.col("o_orderkey") % 4 < 2).select(F.col("o_orderkey").alias("line"))
+    """Of every four lines the first two, by their numbers."""
+    return _numbered(spark, sf_dir).filter(F.col("position") % 4 < 2).select("position", F.col("o_orderkey").alias("line"))
+
+
+@query("""with p as (select l_orderkey % 97 as run, l_linenumber, l_quantity, l_tax + 1 as hash_ms, l_discount + 2 as sort_ms, l_quantity + 3 as probe_ms from lineitem)
+select run, round(count(*) / (sum(hash_ms) / 1000.0), 4) as hash_rate, round(count(*) / (sum(sort_ms) / 1000.0), 4) as sort_rate, round(count(*) / (sum(probe_ms) / 1000.0), 4) as probe_rate,
+round(count(*) / (sum(hash_ms + sort_ms + probe_ms) / 1000.0), 4) as total_rate from p group by 1""")
+def stage_throughputs(spark, sf_dir):
+    """Rates of each stage of a filter's probe and of all together."""
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 97).alias("run"), (F.col("l_tax") + 1).alias("hash"), (F.col("l_discount") + 2).alias("sort"), (F.col("l_quantity") + 3).alias("probe"))
+    return profiles.stage_rates(rows, ["run"], ["hash", "sort", "probe"], 4)
 
 
 @query("select l_linenumber, round(count(*) / (sum(l_quantity) / 1000.0), 4) as rows_per_second, round(0.25 * sum(l_quantity) / count(*) * 1e12, 0) as work_ps from lineitem group by 1")

@@ -24,7 +24,8 @@ def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType, s
 def write_column(df: DataFrame, column: str, path: str, rows_per_block: int = 1 << 20) -> None:
     """An int column as blocks of raw little-endian 32-bit values, with each block's number of values and sum.
 
-    Blocks are rows of a Parquet table, so any file system that Spark writes can hold them.
+    Blocks are rows of a Parquet table, so any file system that Spark writes can hold them. A null has no value in
+    such a file, so it raises.
     """
     ship_package(df.sparkSession)
     schema = pa.schema([("n", pa.int64()), ("total", pa.int64()), ("data", pa.binary())])
@@ -38,6 +39,8 @@ def write_column(df: DataFrame, column: str, path: str, rows_per_block: int = 1
             return pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([int(x.sum(dtype=np.int64))], pa.int64()), pa.array([x.tobytes()], pa.binary())], schema=schema)
 
         for batch in batches:
+            if batch.column(0).null_count:
+                raise ValueError("a raw column can't hold nulls")
             held.append(batch.column(0).to_numpy(zero_copy_only=False))
             size += batch.num_rows
             if size >= rows_per_block:
@@ -65,6 +68,27 @@ def read_column(spark: SparkSession, path: str, column: str = "key", scale: int
     return spark.read.parquet(path).select("n", "total", "data").mapInArrow(unpack, f"{column} int")
 
 
+def write_scalar(spark: SparkSession, value: int, path: str) -> None:
+    """One long beside a data set, such as its expected sum."""
+    spark.createDataFrame([(value,)], "value long").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_scalar(spark: SparkSession, path: str) -> int:
+    (row,) = spark.read.parquet(path).collect()
+    return row.value
+
+
+def parse_options(args: list[str]) -> dict[str, str]:
+    """``--key=value`` arguments; a key without a value is "1", of repeated keys the last holds, anything else raises."""
+    out = {}
+    for arg in args:
+        if not arg.startswith("--") or len(arg) < 3:
+            raise ValueError(f"not an option: {arg}")
+        key, eq, value = arg[2:].partition("=")
+        out[key] = value if eq else "1"
+    return out
+
+
 def cached(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
     """The table at ``path``, made and written first if it isn't there."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
@@ -84,12 +108,12 @@ CONFIG_FIELDS = ("w", "s", "z", "k", "m", "slowdown", "filtersize", "tw", "probe
 def parse_config_lines(lines: DataFrame) -> DataFrame:
     """Lines of ``name value`` pairs in column value, the rate glued to its name: device, the numbers, fpr."""
     number = lambda name: F.regexp_extract("value", rf"(?:^|\s){name} (\d+)", 1).cast("long").alias(name)
-    return lines.select(F.regexp_extract("value", r"\b(CPU|GPU)\b", 1).alias("device"), *(number(c) for c in CONFIG_FIELDS), F.regexp_extract("value", r"fpr([0-9.eE+-]+)", 1).cast("double").alias("fpr"))
+    return lines.select(F.regexp_extract("value", r"\b(CPU|GPU)\b", 1).alias("device"), *(number(c) for c in CONFIG_FIELDS), F.regexp_extract("value", r"fpr ?([0-9.eE+-]+)", 1).cast("double").alias("fpr"))
 
 
-def lines_with(lines: DataFrame, text: str) -> DataFrame:
-    """The lines that hold ``text``."""
-    return lines.filter(F.contains("value", F.lit(text)))
+def lines_with(lines: DataFrame, text: str, flag: str = "") -> DataFrame:
+    """The lines that hold ``text``, with ``flag`` behind each."""
+    return lines.filter(F.contains("value", F.lit(text))).withColumn("value", F.concat("value", F.lit(f" {flag}" if flag else "")))
 
 
 def latex_rows(df: DataFrame, columns: list[str]) -> DataFrame:

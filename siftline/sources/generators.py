@@ -30,8 +30,16 @@ def unique32(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
 
 
 def unique64(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """n distinct non-negative longs: a bijective hash over a row number's high part."""
-    return spark.range(n).select((F.shiftleft(hash32(F.col("id") + seed).bitwiseAND(F.lit(TOP)), 32) + F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))).alias("key"))
+    """n distinct longs: four rounds of a Feistel cipher over the halves of a row number, a bijection of 64-bit numbers."""
+    rows = spark.range(n).select(F.shiftrightunsigned("id", 32).alias("a"), F.col("id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("b"))
+    for i in range(4):
+        rows = rows.select(F.col("b").alias("a"), F.col("a").bitwiseXOR(hash32(F.col("b") + (seed * 4 + i) % TOP)).alias("b"))
+    return rows.select(F.shiftleft("a", 32).bitwiseOR(F.col("b")).alias("key"))
+
+
+def uniform32(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+    """n values over all 32-bit numbers, repeats allowed."""
+    return uniform(spark, n, 0, 0xFFFFFFFF, seed)
 
 
 def uniform(spark: SparkSession, n: int, low: int, high: int, seed: int = 0) -> DataFrame:
