@@ -18,7 +18,7 @@ from siftline.functions.hashing import MASK32, hash32, hash32_int, hash32_sql, p
 
 WORD = 32
 #: Filters up to so many words (8 bytes each as an array) travel to every task.
-BROADCAST_WORDS = 1 << 18
+BROADCAST_WORDS = 1 << 20
 MOST_BITS = 15
 
 
