@@ -41,7 +41,7 @@ CHUNK = 1 << 16
 #: Longer words are worked off in parts of so many bytes, each with the part before as the word before.
 SEGMENT = 1 << 10
 #: Bytes of text in a batch, bytes of distinct pairs worked off together.
-BATCH, STEP_BYTES = 4 << 20, 1 << 16
+BATCH, STEP_BYTES = 2 << 20, 1 << 15
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BLANK_AT = re.compile(rb"[ \t-\r]")
@@ -250,12 +250,11 @@ def contexts(batch: Batch, pairs: np.ndarray, step: int = STEP_BYTES) -> Iterato
     # last bytes within the unit, and those of the unit before that come before them
     most = max(LAST)
     power = np.uint64(257) ** np.arange(most + 1, dtype=np.uint64)
-    own = np.zeros((most + 1, len(flat)), np.uint64)
+    own, sofar = {}, np.zeros(len(flat), np.uint64)
     for j in range(1, most + 1):
-        back = np.zeros(len(flat), np.uint64)
-        back[j:] = value[:-j]
-        back[inside < j] = 0
-        own[j] = own[j - 1] + back * power[j - 1]
+        sofar[j:] += np.where(inside[j:] >= j, value[:-j] * power[j - 1], np.uint64(0))
+        if j in LAST:
+            own[j] = sofar.copy()
     tail = np.zeros((len(size), most + 1), np.uint64)
     for j in range(1, most + 1):
         has = size >= j
@@ -420,6 +419,21 @@ def byte_histogram(vocabulary: DataFrame) -> np.ndarray:
     return out
 
 
+def short(counts: np.ndarray) -> bytes:
+    """Slots' counts as bytes: one each for zeros and ones, and the places and counts of those with more."""
+    both = np.stack([counts & HALF, counts >> 32])
+    more = np.flatnonzero((both > 255).any(0))
+    return np.minimum(both, 255).astype(np.uint8).tobytes() + more.astype("<i4").tobytes() + both[:, more].astype("<i8").tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    """(zeros, ones) of :func:`short`."""
+    out = np.frombuffer(data, np.uint8, 2 * CHUNK).reshape(2, CHUNK).astype(np.int64)
+    n = (len(data) - 2 * CHUNK) // 20
+    out[:, np.frombuffer(data, "<i4", n, 2 * CHUNK)] = np.frombuffer(data, "<i8", 2 * n, 2 * CHUNK + 4 * n).reshape(2, n)
+    return out
+
+
 def learn_contexts(docs: DataFrame, code: Code, modulus: int, held: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """States of all slots over all training documents, and the weights and map learnt on the way.
 
@@ -438,7 +452,7 @@ def learn_contexts(docs: DataFrame, code: Code, modulus: int, held: int) -> tupl
                 for at in range(0, len(c), CHUNK):
                     part = c[at : at + CHUNK]
                     if part.any():
-                        yield table(schema, [(int(OFFSETS[o]) + at) // CHUNK], [0], [part.tobytes()], [None], [None])
+                        yield table(schema, [(int(OFFSETS[o]) + at) // CHUNK], [0], [short(part)], [None], [None])
                 c[:] = 0
 
         for batch in slices(batches):
@@ -459,9 +473,9 @@ def learn_contexts(docs: DataFrame, code: Code, modulus: int, held: int) -> tupl
         zeros, ones = {}, {}
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(data, np.int64)
-                zeros[k] = zeros.get(k, 0) + (got & HALF)
-                ones[k] = ones.get(k, 0) + (got >> 32)
+                got = long(data)
+                zeros[k] = zeros.get(k, 0) + got[0]
+                ones[k] = ones.get(k, 0) + got[1]
         for k in zeros:
             states = (level_of(zeros[k]) * LEVELS + level_of(ones[k])).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([states.tobytes()], pa.binary())], names=["chunk", "states"])

@@ -262,6 +262,14 @@ def slow_bit(mixer, states, slots, bit) -> float:
     return math.log10(p if bit else 1 - p)
 
 
+def test_short_counts_come_back():
+    r = np.random.default_rng(2)
+    counts = r.integers(0, 3, M.CHUNK) + (r.integers(0, 3, M.CHUNK) << 32)
+    counts[[5, 77]] = [(1 << 30) + (7 << 32), 256 << 32]
+    zeros, ones = M.long(M.short(counts))
+    assert (zeros == (counts & M.HALF)).all() and (ones == counts >> 32).all()
+
+
 @given(st.integers(0, 1 << 40), st.integers(0, 1 << 40))
 def test_levels_keep_order_and_size(a, b):
     x, y = M.level_of(np.array([a, b]))
