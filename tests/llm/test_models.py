@@ -39,6 +39,64 @@ def test_marginals_equal_enumeration():
     assert log_z == pytest.approx(total)
 
 
+def mixed_documents(n: int, seed: int):
+    """Documents of labelled lines: good ones with a few runs of junk lines, bad ones with a few good lines."""
+    r = random.Random(seed)
+    good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(12)) + "."
+    bad = lambda: " | ".join("".join(r.choice("ABC#$1") for _ in range(4)) for _ in range(8))
+    texts, truth, labels = [], [], []
+    for _ in range(n):
+        label = r.random() < 0.6
+        now, lines = label, []
+        for _ in range(r.randint(6, 14)):
+            now = now if r.random() < 0.75 else r.random() < (0.9 if label else 0.2)
+            lines.append(now)
+        texts.append("\n".join(good() if x else bad() for x in lines))
+        truth.append(np.array(lines))
+        labels.append(int(label))
+    return texts, truth, np.array(labels)
+
+
+def test_hidden_labels_of_lines_are_found():
+    """Lines' labels, which no document states, with the document's label on each line and hidden; and they change within documents."""
+    texts, truth, labels = mixed_documents(150, 3)
+    both = [C.line_matrix(t) for t in texts]
+    docs, lengths = [C.with_neighbours(x) for x, _ in both], [w for _, w in both]
+    right, changes = [], []
+    for turns in (0, 3):
+        p = C.fit_field(docs, lengths, labels, turns=turns).marginals(docs)[0]
+        right.append(sum(((a > 0.5) == b).sum() for a, b in zip(p, truth, strict=True)) / sum(map(len, truth)))
+        changes.append(sum(((a[1:] > 0.5) != (a[:-1] > 0.5)).sum() for a in p))
+    assert min(right) > 0.9 and min(changes) > 0
+
+
+def test_tilts_bring_shares_to_the_labels():
+    r = np.random.default_rng(7)
+    field = C.LineField(r.normal(size=3 * C.N_LINE), r.normal(size=(2, 2)))
+    docs = [r.normal(size=(k, 3 * C.N_LINE)) * 0.2 for k in (1, 3, 7, 20)]
+    lengths = [r.uniform(1, 90, len(d)) for d in docs]
+    for label, bound in ((0, C.SHARES[0]), (1, C.SHARES[1])):
+        tilts = C.tilts_of(field, docs, lengths, label, rounds=30)
+        before, after = (np.array([p @ w / w.sum() for p, w in zip(field.marginals(docs, t)[0], lengths, strict=True)]) for t in (None, tilts))
+        fine = before <= bound if label == 0 else before >= bound
+        assert after[fine] == pytest.approx(before[fine])
+        assert after[~fine] == pytest.approx(bound, abs=1e-3)
+
+
+def test_sample_is_bounded_in_lines(spark):
+    rows = [(i, "\n".join(["a plain line of text."] * (5 if i else 500))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit = C.fit_field
+    try:
+        C.fit_field = lambda d, w, y: seen.append(sum(map(len, d))) or fit(d, w, y)
+        assert C.quality_scores(docs, labels, most_lines=100).count() == 60
+    finally:
+        C.fit_field = fit
+    assert 60 < seen[0] <= 100
+
+
 def test_quality_of_held_out_documents(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     known = {r.doc_id: r.quality for r in labels.collect()}
