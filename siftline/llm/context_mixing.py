@@ -3,7 +3,7 @@
 A text is its words, A-Z in lower case, each followed by a blank, and an end mark (a blank where a word would
 begin). Its bytes are spelled in the bits of a Huffman code of all training texts, and the bits are predicted one
 after the other by hashed contexts of the text so far, each with the bits of the current byte that are known: its
-last 2, 3 and 5 bytes, the beginning of the word, and that beginning with the whole word before. Contexts reach
+last 2 and 4 bytes, the beginning of the word, and that beginning with the whole word before. Contexts reach
 over blanks, back to the beginning of the word before. A context's slot counts zeros and ones over all training
 documents. The predictors' stretched probabilities are mixed with weights that a gate chooses by how much the two
 longest contexts have seen; weights learn online, in the pass that counts: each run of bits is predicted from what
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import slices, table, written
 
 #: Bytes of the plain contexts, then bits of each predictor's table: those, the word's beginning, the word before with it.
-LAST = (2, 3, 5)
-TABLE_BITS = (20, 21, 22, 22, 22)
+LAST = (2, 4)
+TABLE_BITS = (20, 21, 22, 22)
 N = len(TABLE_BITS)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 SLOTS = int(OFFSETS[-1])
@@ -191,43 +191,37 @@ class Batch:
 
 def batches_of(texts: list[bytes | None], limit: int = BATCH) -> Iterator[Batch]:
     """The texts' words in batches of about ``limit`` bytes; a long text goes on in the next one."""
-
-    def new(last: bytes | None = None):
-        n = Numbers({None: 0})
-        return n, [], [], [], [], [], n[last]
-
-    numbers, words, doc, units, before, word_of, last = new()
-    held = 0
+    numbers, held, n_words = Numbers({None: 0}), 0, 0
+    found: list[list[np.ndarray]] = [[], [], [], [], []]  # words, doc, units, before, word_of
 
     def batch() -> Batch:
-        return Batch(list(numbers), *(np.array(x, np.int64) for x in (words, doc, units, before, word_of)))
+        return Batch(list(numbers), *(np.concatenate(x) for x in found))
 
     for d, text in enumerate(texts):
         last = 0
         for piece in (*blank_pieces(text or b"", limit), None):
             if held > limit:
                 yield batch()
-                numbers, words, doc, units, before, word_of, last = new(list(numbers)[last])
-                held = 0
+                key = next(k for k, n in numbers.items() if n == last)
+                numbers, held, n_words = Numbers({None: 0}), 0, 0
+                found = [[], [], [], [], []]
+                last = numbers[key]
             some = [b""] if piece is None else piece.lower().split()
             if not some:
                 continue
             held += len(piece or b"")
-            first = len(words)
-            got = list(map(numbers.__getitem__, some))
-            words += got
-            doc += [d] * len(got)
-            if max(map(len, some)) <= SEGMENT:
-                word_of += range(first, first + len(got))
-            else:
+            words = units = np.fromiter(map(numbers.__getitem__, some), np.int64, len(some))
+            word_of = np.arange(n_words, n_words + len(some))
+            if max(map(len, some)) > SEGMENT:
                 cut = [parts(w) for w in some]
-                word_of += [first + i for i, p in enumerate(cut) for _ in p]
-                got = [numbers[u] for p in cut for u in p]
-            before.append(last)
-            before += got[:-1]
-            units += got
-            last = got[-1]
-    if words:
+                word_of = np.repeat(word_of, list(map(len, cut)))
+                units = np.array([numbers[u] for p in cut for u in p], np.int64)
+            before = np.empty_like(units)
+            before[0], before[1:] = last, units[:-1]
+            for x, more in zip(found, (words, np.full(len(some), d), units, before, word_of), strict=True):
+                x.append(more)
+            last, n_words = int(units[-1]), n_words + len(some)
+    if n_words:
         yield batch()
 
 
@@ -328,10 +322,9 @@ class BitMixer:
         p = np.where(np.abs(x) < 7, (p + self.refine.astype(np.float32).ravel().take(cell)) / 2, p)
         return np.clip(p, np.float32(1e-7), np.float32(1 - 1e-7))
 
-    def learn(self, batch: Batch, counts: list[np.ndarray]) -> float:
-        """Predict the batch run by run from the counts so far, learn from each run, then count it; the bits that all cost."""
+    def learn(self, batch: Batch, counts: list[np.ndarray]) -> None:
+        """Predict the batch run by run from the counts so far, learn from each run, then count it."""
         pairs, _, times = batch.pairs()
-        total = 0.0
         for which, raw, byte_of, hashes in contexts(batch, pairs):
             of, turn, bit = self.code.events(raw)
             many = times[which].take(byte_of).take(of)
@@ -339,8 +332,6 @@ class BitMixer:
             found = [stretched(c.take(s)) for c, s in zip(counts, slots, strict=True)]
             st = [x for x, _ in found]
             gate, x, cell = self.mixed(st, CONFIDENCE_OF.take(found[-2][1]), CONFIDENCE_OF.take(found[-1][1]))
-            p = self.probability(x, cell)
-            total -= float((np.log2(np.where(bit == 1, p, 1 - p)) * many).sum(dtype=np.float64))
             err = (bit - 1 / (1 + np.exp(-x))) * many
             step = np.stack([np.bincount(gate, s * err, GATES) for s in st])
             self.seen += step * step
@@ -352,7 +343,6 @@ class BitMixer:
             add = many << (bit * np.int64(32))
             for c, s in zip(counts, slots, strict=True):
                 np.add.at(c, s, add)
-        return total
 
     def log10(self, batch: Batch, states: list[np.ndarray]) -> np.ndarray:
         """log10 of each word's probability where it stands, the blank after it included, from all slots' states."""
