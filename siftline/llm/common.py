@@ -154,15 +154,16 @@ def from_texts(docs: DataFrame, fields: list[StructField], make: Callable[[list[
     ``fields`` may not have names of kept columns.
     """
     kept = docs.columns if keep is None else keep
-    text = fresh("text", [*kept, *(f.name for f in fields)])
-    names = [*kept, *(f.name for f in fields)]
+    plain = [f"c{i}" for i in range(len(kept) + len(fields))]  # the workers' names: some signs in names are too much for Spark
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch.column(len(kept)).to_pylist())], names=names)
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *make(batch.column(len(kept)).to_pylist())], names=plain)
 
-    sent = docs.select(*(F.col(quoted(c)) for c in kept), F.col("text").cast("string").alias(text))
-    return sent.mapInArrow(compute, StructType([*(sent.schema[i] for i in range(len(kept))), *fields]))
+    sent = docs.select(*(F.col(quoted(c)).alias(p) for c, p in zip(kept, plain, strict=False)), F.col("text").cast("string").alias("text"))
+    schema = StructType([*sent.schema.fields[:-1], *(StructField(p, f.dataType) for p, f in zip(plain[len(kept) :], fields, strict=True))])
+    names = [*kept, *(f.name for f in fields)]
+    return sent.mapInArrow(compute, schema).select(*(F.col(p).alias(n) for p, n in zip(plain, names, strict=True)))
 
 
 def table(schema: pa.Schema, *columns) -> pa.RecordBatch:

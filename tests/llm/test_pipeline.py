@@ -111,3 +111,17 @@ def test_stages_take_no_documents(spark, empty):
     for _, f in corpus_pipeline.STAGES:
         docs = written(f(spark, docs, SF), "test-empty")
         assert docs.count() == 0
+
+
+def test_private_names_are_only_names(spark):
+    """Columns called as the stages' own helpers keep their values and types."""
+    names = ["_kept", "_p", "_w", "_l", "_chars", "mixing", "copies", "verdict", "kept", "row", "fp", "redacted", "words", "lines", "chars", "symbols", "Rate", "p", "n_tokens", "a.b", "_id"]
+    body = "Plain prose of a calm kind goes on and on here, and it ends."
+    rows = [(i, f"{body} Number {i} is here as well.", *(f"{n}{i}" for n in names)) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    want = {r[2:] for r in rows}
+    for _, f in corpus_pipeline.STAGES[:4]:
+        got = f(spark, docs, SF)
+        assert got.dtypes == docs.dtypes
+        found = {tuple(r)[2:] for r in got.collect()}
+        assert found and found <= want
