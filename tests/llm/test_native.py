@@ -149,6 +149,30 @@ def test_fingerprints_feel_order(spark):
     assert len(s[1] & s[3]) > len(s[1] & s[2])
 
 
+def test_likeness_falls_with_edit_distance(spark):
+    """Mean likeness of texts to their edits (words replaced, dropped or put in), and to their shuffled blocks."""
+    r = random.Random(11)
+    texts, edits = [], [0, 4, 16, 64, 256]
+    for _ in range(12):
+        words = [f"w{r.randint(0, 2000)}" for _ in range(500)]
+        for n in edits:
+            other = list(words)
+            for _ in range(n):
+                i, kind = r.randrange(len(other)), r.randrange(3)
+                other[i : i + (kind < 2)] = ["x%d" % r.randint(0, 10**6)] * (kind != 1)
+            texts.append((n, " ".join(words), " ".join(other)))
+        blocks = [words[i : i + 25] for i in range(0, 500, 25)]
+        r.shuffle(blocks)
+        texts.append((-1, " ".join(words), " ".join(w for b in blocks for w in b)))
+    rows = spark.createDataFrame(texts, "n int, a string, b string").select("n", O.sketch(F.col("a")).alias("a"), O.sketch(F.col("b")).alias("b")).collect()
+    like = {n: np.mean([len(set(r.a) & set(r.b)) / len({v >> 27 for v in (*r.a, *r.b)}) for r in rows if r.n == n]) for n in (*edits, -1)}
+    assert like[0] == 1
+    assert all(like[a] > like[b] for a, b in zip(edits, edits[1:], strict=False)), like
+    kept = lambda r: len({*zip(*(r.split()[i:] for i in range(3)), strict=False)})
+    sets = np.mean([len({*zip(*(a.split()[i:] for i in range(3)), strict=False)} & {*zip(*(b.split()[i:] for i in range(3)), strict=False)}) / kept(a) for n, a, b in texts if n == -1])
+    assert sets > 0.85 and like[-1] < 0.75 * sets  # most 3-word runs are still there, in another order
+
+
 def test_licences_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in L.scan_licences(docs).collect()}
