@@ -41,7 +41,7 @@ CHUNK = 1 << 16
 #: Longer words are worked off in parts of so many bytes, each with the part before as the word before.
 SEGMENT = 1 << 10
 #: Bytes of text in a batch, bytes of distinct pairs worked off together.
-BATCH, STEP_BYTES = 2 << 20, 1 << 15
+BATCH, STEP_BYTES = 1 << 20, 1 << 15
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BLANK_AT = re.compile(rb"[ \t-\r]")
@@ -375,7 +375,7 @@ def count_words(docs: DataFrame, modulus: int, held: int, flush: int = 400_000)
             rest.clear()
             return table(schema, pa.array(names, pa.binary()).cast(pa.string()), c, n)
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 to = rest if remainder(doc, modulus) == held else known
                 to[b""] += 1
@@ -445,7 +445,7 @@ def learn_contexts(docs: DataFrame, code: Code, modulus: int, held: int) -> tupl
                         yield table(schema, [(int(OFFSETS[o]) + at) // CHUNK], [0], [short(part)], [None], [None])
                 c[:] = 0
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             known = [t for d, t in zip(docs_, texts, strict=True) if remainder(d, modulus) != held]
             size += sum(len(t or b"") + 1 for t in known)
@@ -511,7 +511,7 @@ def with_count_column(lm, c, total: int):
     return F.when(c > 0, most + F.log10(1 + F.pow(F.lit(10.0), F.least(a, b) - most))).otherwise(a)
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 17) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 16) -> DataFrame:
     """Scores of whole texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     Learns from documents whose crc32(doc_id as text) mod ``modulus`` is not ``held`` (a null id counts as
@@ -542,7 +542,7 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
         number = {w: i for i, w in enumerate(names)}
         mixer, tables = BitMixer(code, weights, refine), unpacked(contexts_.value)
         first = TaskContext.get().partitionId() << 40
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH):
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for some in batches_of(texts):
                 lm = mixer.log10(some, tables)
