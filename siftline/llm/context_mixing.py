@@ -7,21 +7,22 @@ last 2 and 4 bytes, the beginning of the word, and that beginning with the whole
 over blanks, back to the beginning of the word before. A context's slot counts zeros and ones over all training
 documents. The predictors' stretched probabilities are mixed with weights that a gate chooses by how much the two
 longest contexts have seen; weights learn online, in the pass that counts: each run of bits is predicted from what
-the task has counted so far, the weights learn from it, and then it is counted. An adaptive map refines the mixed
-probability. The word's own count among all training words, kept in
-a table that grows with the corpus, is mixed in last.
+the task counted before (a table that is renewed whenever the task's text has doubled, at first after each run), the
+weights learn from it, and then it is counted. An adaptive map refines the mixed probability. The word's own count
+among all training words, kept in a table that grows with the corpus, is mixed in last.
 
 What is predicted for a word depends on it and the word before alone, so in a batch of texts every two words that
-meet are worked off once, with their number.
+meet are worked off once, with their number, and scores of pairs that were met in the last batches are kept.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,11 +38,14 @@ TABLE_BITS = (20, 21, 22, 22)
 N = len(TABLE_BITS)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
 SLOTS = int(OFFSETS[-1])
+MASKS = [(1 << b) - 1 for b in TABLE_BITS]
 CHUNK = 1 << 16
+#: Bytes of units whose contexts are worked out together.
+BLOCK = 1 << 14
 #: Longer words are worked off in parts of so many bytes, each with the part before as the word before.
 SEGMENT = 1 << 10
 #: Bytes of text in a batch, bytes of distinct pairs worked off together.
-BATCH, STEP_BYTES = 1 << 20, 1 << 15
+BATCH, STEP_BYTES = 1 << 20, 12_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 BLANK_AT = re.compile(rb"[ \t-\r]")
@@ -50,6 +54,10 @@ WHOLE, LEVELS = 8, 84
 CONF = 6
 GATES = CONF * CONF
 BUCKETS = 33
+#: First cells of the map by gate, eight gates to a confidence, and half a row.
+CELL_OF_GATE = (np.arange(64) // 8 * BUCKETS + BUCKETS // 2).astype(np.float32)
+#: Up to so many bytes, learning predicts from all that was counted; then from counts renewed as the text doubles.
+EARLY = 1 << 19
 LOG10_2 = float(np.log10(2.0))
 LOG10_E = float(np.log10(np.e))
 #: Share of a known word's own count in its probability.
@@ -58,8 +66,16 @@ WORD_SHARE = 1 / 16
 
 def _spread(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
-    x = x * MIX
-    return x ^ (x >> np.uint64(32))
+    x *= MIX
+    x ^= x >> np.uint64(32)
+    return x
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    """The upper half of a context's spread number."""
+    x = _spread(x)
+    x >>= np.uint64(32)
+    return x
 
 
 NODE_HASH = (_spread((np.arange(256, dtype=np.uint64) + np.uint64(1)) * PRIME) >> np.uint64(32)).view(np.int64)
@@ -82,11 +98,21 @@ SMALL = level_of(np.arange(1 << 12))
 HALF = np.int64((1 << 32) - 1)
 
 
-def stretched(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stretched probability of a one from slots' counts, and how often they were seen, up to 511."""
-    zeros, ones = counts & HALF, counts >> 32
-    seen = np.minimum(zeros + ones, len(CONFIDENCE_OF) - 1)
-    return np.log((ones.astype(np.float32) + np.float32(0.02)) / (zeros.astype(np.float32) + np.float32(0.02))), seen
+def predictions(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """Stretched probabilities of a one after so many zeros and ones, 0 where nothing was seen; the last three bits say how sure a slot is."""
+    zeros, ones = zeros.astype(np.float32), ones.astype(np.float32)
+    sure = CONFIDENCE_OF.take(np.minimum(zeros + ones, np.float32(511)).astype(np.intp))
+    out = np.log((ones + np.float32(0.02)) / (zeros + np.float32(0.02)))
+    out += np.float32(1e-20)  # with bits in it, a bare 0 would be a denormal number, and those are slow
+    bits = out.view(np.int32)
+    bits &= -8
+    bits |= sure
+    return out
+
+
+def predictions_of(counts: np.ndarray) -> np.ndarray:
+    """The same of slots' counts."""
+    return predictions(counts & HALF, counts >> 32)
 
 
 def _levels(n: np.ndarray) -> np.ndarray:
@@ -103,16 +129,19 @@ def states_of(counts: np.ndarray) -> np.ndarray:
 
 
 #: How sure a context is that was seen so often.
-CONFIDENCE_OF = np.searchsorted([1, 2, 5, 17, 257], np.arange(512), side="right")
+CONFIDENCE_OF = np.searchsorted([1, 2, 5, 17, 257], np.arange(512), side="right").astype(np.int32)
 #: A state's stretched probability of a one, 0 where nothing was seen, and how sure it is.
 STRETCHED = np.log((np.tile(COUNT_OF, LEVELS) + 0.02) / (np.repeat(COUNT_OF, LEVELS) + 0.02)).astype(np.float32)
 CONFIDENCE = CONFIDENCE_OF[np.minimum(np.tile(COUNT_OF, LEVELS) + np.repeat(COUNT_OF, LEVELS), 511).astype(np.int64)]
+#: Both in one number, as in :func:`predictions`.
+PREDICTED = predictions(np.repeat(COUNT_OF, LEVELS), np.tile(COUNT_OF, LEVELS))
 
 
 class Code:
     """Huffman code of bytes: for each byte the inner nodes on its path, and the bits taken there."""
 
     def __init__(self, histogram: np.ndarray):
+        self.histogram = [int(n) for n in histogram]
         heap = [(int(n) + 1, i, i) for i, n in enumerate(histogram)]
         heapq.heapify(heap)
         parent: dict[int, tuple[int, int]] = {}
@@ -131,21 +160,21 @@ class Code:
         self.start = np.cumsum(self.length) - self.length
         self.turn = NODE_HASH[[n for p in paths for n, _ in p]]
         self.bit = np.array([b for p in paths for _, b in p], np.uint8)
+        self.sign = np.where(self.bit == 1, np.float32(1), np.float32(-1))
+        self.one = np.int64(1) << (self.bit.astype(np.int64) * 32)
+
+    def __reduce__(self) -> tuple:
+        """Made anew in each worker: arrays that were sent have types of their own, for which numpy leaves its fast paths."""
+        return Code, (self.histogram,)
 
     def events(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each bit of the bytes: the byte's place, the hash of the bits before it, the bit."""
+        """For each bit of the bytes: the byte's place, and the bit's in the code's own arrays; and where each byte's bits begin."""
         n = self.length.take(raw)
+        begin = np.cumsum(n) - n
         of = np.repeat(np.arange(len(raw)), n)
-        at = np.arange(len(of)) + (self.start.take(raw) - (np.cumsum(n) - n)).take(of)
-        return of, self.turn.take(at), self.bit.take(at)
-
-
-class Numbers(dict):
-    """Key to its number; a new key gets the next one."""
-
-    def __missing__(self, key) -> int:
-        self[key] = n = len(self)
-        return n
+        at = (self.start.take(raw) - begin).take(of)
+        at += np.arange(len(of))
+        return of, at, begin
 
 
 def unit_bytes(key: bytes | None) -> bytes:
@@ -184,104 +213,166 @@ class Batch:
     before: np.ndarray
     word_of: np.ndarray
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (before, unit) as one number each, where each unit's is, and how often each is there."""
-        return np.unique(self.before * len(self.keys) + self.units, return_inverse=True, return_counts=True)
-
 
 def batches_of(texts: list[bytes | None], limit: int = BATCH) -> Iterator[Batch]:
     """The texts' words in batches of about ``limit`` bytes; a long text goes on in the next one."""
-    numbers, held, n_words = Numbers({None: 0}), 0, 0
-    found: list[list[np.ndarray]] = [[], [], [], [], []]  # words, doc, units, before, word_of
+    numbers, held, last = {None: 0}, 0, 0
+    some: list[bytes] = []
+    docs_: list[tuple[int, int]] = []  # a text and its words here
 
     def batch() -> Batch:
-        return Batch(list(numbers), *(np.concatenate(x) for x in found))
+        for k in [k for k in dict.fromkeys(some) if k not in numbers]:
+            numbers[k] = len(numbers)
+        words = units = np.fromiter(map(numbers.__getitem__, some), np.int64, len(some))
+        word_of = np.arange(len(some))
+        if max(map(len, filter(None, numbers)), default=0) > SEGMENT:
+            cut = [parts(w) for w in some]
+            for k in [k for p in cut for k in p if k not in numbers]:
+                numbers.setdefault(k, len(numbers))
+            word_of = np.repeat(word_of, list(map(len, cut)))
+            units = np.array([numbers[u] for p in cut for u in p], np.int64)
+        before = np.empty_like(units)
+        before[0], before[1:] = last, units[:-1]
+        # a text's first word has none before it
+        doc, n = np.array(docs_, np.int64).reshape(-1, 2).T
+        begins = (np.cumsum(n) - n)[1:][doc[1:] != doc[:-1]]
+        before[np.searchsorted(word_of, begins)] = 0
+        return Batch(list(numbers), words, np.repeat(doc, n), units, before, word_of)
 
     for d, text in enumerate(texts):
-        last = 0
         for piece in (*blank_pieces(text or b"", limit), None):
             if held > limit:
-                yield batch()
-                key = next(k for k, n in numbers.items() if n == last)
-                numbers, held, n_words = Numbers({None: 0}), 0, 0
-                found = [[], [], [], [], []]
-                last = numbers[key]
-            some = [b""] if piece is None else piece.lower().split()
-            if not some:
-                continue
-            held += len(piece or b"")
-            words = units = np.fromiter(map(numbers.__getitem__, some), np.int64, len(some))
-            word_of = np.arange(n_words, n_words + len(some))
-            if max(map(len, some)) > SEGMENT:
-                cut = [parts(w) for w in some]
-                word_of = np.repeat(word_of, list(map(len, cut)))
-                units = np.array([numbers[u] for p in cut for u in p], np.int64)
-            before = np.empty_like(units)
-            before[0], before[1:] = last, units[:-1]
-            for x, more in zip(found, (words, np.full(len(some), d), units, before, word_of), strict=True):
-                x.append(more)
-            last, n_words = int(units[-1]), n_words + len(some)
-    if n_words:
+                yield (made := batch())
+                key = made.keys[made.units[-1]] if docs_[-1][0] == d else None
+                numbers, held, some, docs_ = {None: 0}, 0, [], []
+                last = numbers.setdefault(key, 1)
+            more = [b""] if piece is None else piece.lower().split()
+            if more:
+                held += len(piece or b"")
+                some += more
+                docs_.append((d, len(more)))
+    if some:
         yield batch()
 
 
-def contexts(batch: Batch, pairs: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of pairs: which, their bytes, each byte's pair (numbered in the run), and the hashes of its contexts (predictors x bytes)."""
-    spelled = list(map(unit_bytes, batch.keys))
-    flat = np.frombuffer(b"".join(spelled), np.uint8)
-    size = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    start = np.cumsum(size) - size
-    value = flat.astype(np.uint64) + np.uint64(1)
-    inside = np.arange(len(flat)) - np.repeat(start, size)
-    # a polynomial of the unit's bytes before each place, from running sums
-    terms = value * POWERS[inside]
-    sums = np.cumsum(terms, dtype=np.uint64) - terms
-    beginning = _spread((sums - np.repeat(sums[np.minimum(start, max(0, len(flat) - 1))], size)) * PRIME + np.uint64(5) + inside.astype(np.uint64)) if len(flat) else sums
-    whole = np.zeros(len(size), np.uint64)
-    some = np.flatnonzero(size)
-    if len(some):
+class Units:
+    """What the contexts of a batch's units are made of: all units' bytes in a row, and sums over them."""
+
+    def __init__(self, batch: Batch):
+        keys = batch.keys
+        size = np.fromiter(map(len, keys[1:]), np.int64, len(keys) - 1) + 1
+        if size.max(initial=0) <= SEGMENT + 1:
+            spelled = b" ".join(keys[1:]) + b" "
+            size = np.append(0, size)
+        else:
+            parts_ = list(map(unit_bytes, keys))
+            spelled, size = b"".join(parts_), np.fromiter(map(len, parts_), np.int64, len(keys))
+        self.n, self.size = len(keys), size
+        self.flat = flat = np.frombuffer(spelled, np.uint8)
+        self.start = start = np.cumsum(size) - size
+        # pairs go by their unit's first bytes: what is read for one is then still at hand for the next
+        head = np.zeros(len(size), np.uint64)
+        for j in range(8):
+            has = np.flatnonzero(size > j)
+            head[has] |= flat.take(start[has] + j).astype(np.uint64) << np.uint64(56 - 8 * j)
+        self.by_rank = np.argsort(head)
+        rank = np.empty_like(self.by_rank)
+        rank[self.by_rank] = np.arange(len(size))
+        #: distinct pairs as one number each, where each unit's is, and how often each is there
+        self.pairs, self.where, self.times = np.unique(rank.take(batch.units) * self.n + batch.before, return_inverse=True, return_counts=True)
+        value = flat.astype(np.uint64)
+        value += np.uint64(1)
+        inside = np.arange(len(flat))
+        inside -= np.repeat(start, size)
+        # a polynomial of the unit's bytes before each place, from running sums
+        terms = value * POWERS.take(inside)
+        sums = np.cumsum(terms, dtype=np.uint64)
+        sums -= terms
+        whole = np.zeros(len(size), np.uint64)
+        some = np.flatnonzero(size)
         whole[some] = _spread(np.add.reduceat(terms, start[some]) * PRIME + np.uint64(8))
-    # last bytes within the unit, and those of the unit before that come before them
-    most = max(LAST)
-    power = np.uint64(257) ** np.arange(most + 1, dtype=np.uint64)
-    own, sofar = {}, np.zeros(len(flat), np.uint64)
-    for j in range(1, most + 1):
-        sofar[j:] += np.where(inside[j:] >= j, value[:-j] * power[j - 1], np.uint64(0))
-        if j in LAST:
-            own[j] = sofar.copy()
-    tail = np.zeros((len(size), most + 1), np.uint64)
-    for j in range(1, most + 1):
-        has = size >= j
-        tail[:, j] = tail[:, j - 1]
-        tail[has, j] += value[(start + size - j)[has]] * power[j - 1]
-    tail = tail.ravel()
-    n = len(batch.keys)
-    left, right = pairs // n, pairs % n
-    length = size[right]
+        self.whole = whole
+        sums -= np.repeat(sums[np.minimum(start, len(flat) - 1)], size)
+        sums *= PRIME
+        sums += inside.view(np.uint64)
+        sums += np.uint64(5)
+        beginning = _spread(sums)
+        # last bytes within the unit, and those of the unit before that come before them
+        most = max(LAST)
+        self.power = power = np.uint64(257) ** np.arange(most + 1, dtype=np.uint64)
+        self.own, sofar = {}, np.zeros(len(flat), np.uint64)
+        for j in range(1, most + 1):
+            for a in range(j, len(flat), BLOCK):
+                b = min(a + BLOCK, len(flat))
+                more = value[a - j : b - j] * power[j - 1]
+                more *= inside[a:b] >= j
+                sofar[a:b] += more
+            if j in LAST:
+                self.own[j] = sofar.copy() if j < most else sofar
+        self.tail = tail = np.zeros((most + 1, len(size)), np.uint64)
+        for j in range(1, most + 1):
+            has = np.flatnonzero(size >= j)
+            tail[j] = tail[j - 1]
+            tail[j, has] += value.take(start[has] + size[has] - j) * power[j - 1]
+        # what a unit's bytes have for contexts if none reaches into the unit before
+        self.alone = alone = np.empty((len(flat), N), np.uint64)
+        for a in range(0, len(flat), BLOCK):
+            for o, k in enumerate(LAST):
+                last = self.own[k][a : a + BLOCK] * PRIME
+                last += np.uint64(k)
+                alone[a : a + BLOCK, o] = _hash(last)
+        alone[:, N - 1] = beginning * PRIME
+        beginning >>= np.uint64(32)  # spread already
+        alone[:, N - 2] = beginning
+
+    def split(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units before and units of pairs."""
+        right, left = np.divmod(pairs, self.n)
+        return left, self.by_rank.take(right)
+
+
+def contexts(units: Units, pairs: np.ndarray, step: int = STEP_BYTES) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """For runs of pairs: which, their bytes, where each pair's begin, and the hashes of the bytes' contexts (predictors x bytes)."""
+    left, right = units.split(pairs)
+    length, from_all = units.size.take(right), units.start.take(right)
     ends = np.cumsum(length)
+    before = units.whole + np.uint64(7)
+    most = max(LAST)
     a = 0
     while a < len(pairs):
         b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + step, side="right")))
-        length_, left_ = length[a:b], left[a:b]
-        of = np.repeat(np.arange(b - a), length_)
-        at = np.arange(len(of)) + (start[right[a:b]] - (np.cumsum(length_) - length_)).take(of)
-        place = inside.take(at)
-        factor = power.take(place, mode="clip")
-        row = (left_ * (most + 1)).take(of)
-        out = np.empty((N, len(of)), np.uint64)
-        for o, k in enumerate(LAST):
-            last = own[k].take(at) + tail.take(row + np.maximum(k - place, 0)) * factor
-            out[o] = _spread(last * PRIME + np.uint64(k))
-        out[N - 2] = beginning.take(at)
-        out[N - 1] = _spread(out[N - 2] * PRIME + whole.take(left_).take(of) + np.uint64(7))
-        out >>= np.uint64(32)
-        yield slice(a, b), flat.take(at), of, out.view(np.int64)
+        length_, left_, from_ = length[a:b], left[a:b], from_all[a:b]
+        first = np.cumsum(length_) - length_
+        at = np.repeat(from_ - first, length_)
+        at += np.arange(len(at))
+        out = units.alone.take(at, axis=0)
+        source, of_left, to = from_, left_, first
+        for j in range(most):
+            if j:
+                has = np.flatnonzero(length_ > j)
+                source, of_left, to = from_.take(has) + j, left_.take(has), first.take(has) + j
+            for o, k in enumerate(LAST):
+                if j < k:
+                    last = units.tail[k - j].take(of_left)
+                    last *= units.power[j]
+                    last += units.own[k].take(source)
+                    last *= PRIME
+                    last += np.uint64(k)
+                    out[to, o] = _hash(last)
+        out[:, N - 1] = _hash(out[:, N - 1] + np.repeat(before.take(left_), length_))
+        yield slice(a, b), units.flat.take(at), first, np.ascontiguousarray(out.T).view(np.int64)
         a = b
 
 
 def slots_of(hashes: np.ndarray, of: np.ndarray, turn: np.ndarray) -> list[np.ndarray]:
     """The bits' slots in each predictor's table."""
-    return [(hashes[o].take(of) ^ turn) & ((1 << bits) - 1) for o, bits in enumerate(TABLE_BITS)]
+    out = []
+    for h, mask in zip(hashes, MASKS, strict=True):
+        s = h.take(of)
+        s ^= turn
+        s &= mask
+        out.append(s)
+    return out
 
 
 def no_counts() -> list[np.ndarray]:
@@ -299,6 +390,9 @@ class BitMixer:
     rate: float = 0.02
     refine_rate: float = 1e-4
     seen: np.ndarray = field(default_factory=lambda: np.full((N, GATES), 1.0))
+    tables: list[np.ndarray] | None = None  # what learning predicts from
+    known: int = 0  # bytes counted when all of them were made
+    size: int = 0  # bytes counted
 
     @classmethod
     def fresh(cls, code: Code) -> BitMixer:
@@ -322,39 +416,148 @@ class BitMixer:
         p = np.where(np.abs(x) < 7, (p + self.refine.astype(np.float32).ravel().take(cell)) / 2, p)
         return np.clip(p, np.float32(1e-7), np.float32(1 - 1e-7))
 
+    def mix(self, st: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Gates (eight to a confidence) and mixed stretch of bits with these predictions."""
+        gate = st[-2].view(np.int32) & 7
+        gate *= 8
+        gate += st[-1].view(np.int32) & 7
+        gate = gate.astype(np.intp)
+        wide = np.zeros((N, 8, 8), np.float32)
+        wide[:, :CONF, :CONF] = self.weights.reshape(N, CONF, CONF)
+        x = np.zeros(len(gate), np.float32)
+        for w, s in zip(wide.reshape(N, 64), st, strict=True):
+            part = w.take(gate)
+            part *= s
+            x += part
+        np.minimum(x, np.float32(20), out=x)
+        np.maximum(x, np.float32(-20), out=x)
+        return gate, x
+
+    def cells(self, gate: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The map's cells."""
+        b = x * np.float32(2)
+        np.rint(b, out=b)
+        np.minimum(b, np.float32(BUCKETS // 2), out=b)
+        np.maximum(b, np.float32(-(BUCKETS // 2)), out=b)
+        b += CELL_OF_GATE.take(gate)
+        return b.astype(np.intp)
+
     def learn(self, batch: Batch, counts: list[np.ndarray]) -> None:
-        """Predict the batch run by run from the counts so far, learn from each run, then count it."""
-        pairs, _, times = batch.pairs()
-        for which, raw, byte_of, hashes in contexts(batch, pairs):
-            of, turn, bit = self.code.events(raw)
-            many = times[which].take(byte_of).take(of)
-            slots = slots_of(hashes, of, turn)
-            found = [stretched(c.take(s)) for c, s in zip(counts, slots, strict=True)]
-            st = [x for x, _ in found]
-            gate, x, cell = self.mixed(st, CONFIDENCE_OF.take(found[-2][1]), CONFIDENCE_OF.take(found[-1][1]))
-            err = (bit - 1 / (1 + np.exp(-x))) * many
-            step = np.stack([np.bincount(gate, s * err, GATES) for s in st])
+        """Predict the batch run by run from counts of what came before, learn from each run, then count it."""
+        units = Units(batch)
+        order = np.argsort(units.times > 1, kind="stable")  # most runs then hold pairs that are there once
+        pairs, times = units.pairs[order], units.times[order]
+        if self.tables is None:
+            self.tables = [np.zeros(len(c), np.float32) for c in counts]
+        for which, raw, first, hashes in contexts(units, pairs):
+            of, at, begin = self.code.events(raw)
+            slots = slots_of(hashes, of, self.code.turn.take(at))
+            st = [t.take(s) for t, s in zip(self.tables, slots, strict=True)]
+            gate, x = self.mix(st)
+            cell = self.cells(gate, x)
+            sign = self.code.sign.take(at)
+            # bit - p is the sign times the probability of the other bit
+            x *= sign
+            np.exp(x, out=x)
+            x += 1
+            err = np.divide(sign, x, out=x)
+            add = self.code.one.take(at)
+            cell *= 2
+            cell += self.code.bit.take(at)
+            if times[which.stop - 1] == 1:
+                hits = np.bincount(cell, minlength=2 * CONF * BUCKETS)
+            else:
+                many = np.repeat(times[which], np.diff(np.append(begin.take(first), len(of))))
+                err *= many
+                add *= many
+                hits = np.bincount(cell, many, 2 * CONF * BUCKETS)
+            step = np.stack([np.bincount(gate, x * err, 64) for x in st]).reshape(N, 8, 8)[:, :CONF, :CONF].reshape(N, GATES)
             self.seen += step * step
             self.weights += self.rate * step / np.sqrt(self.seen)
-            hits = np.bincount(cell, many, CONF * BUCKETS)
-            ones = np.bincount(cell, many * bit, CONF * BUCKETS)
+            ones, hits = hits[1::2], hits[::2] + hits[1::2]
             chance = self.refine.ravel()
             chance += (ones / np.maximum(hits, 1) - chance) * (1 - (1 - self.refine_rate) ** hits)
-            add = many << (bit * np.int64(32))
-            for c, s in zip(counts, slots, strict=True):
-                np.add.at(c, s, add)
+            for c, t in zip(counts, slots, strict=True):
+                np.add.at(c, t, add)
+            self.size += int(times[which] @ np.diff(np.append(first, len(raw))))
+            self.renew(counts, slots)
+
+    def renew(self, counts: list[np.ndarray], slots: list[np.ndarray]) -> None:
+        """Predict from the counts as they are: at first the slots just counted, later all, each time the text has doubled."""
+        if not self.known:
+            for t, c, s in zip(self.tables, counts, slots, strict=True):
+                t[s] = predictions_of(c.take(s))
+            self.known = self.size if self.size >= EARLY else 0
+        elif self.size >= 2 * self.known:
+            for t, c in zip(self.tables, counts, strict=True):
+                for i in range(0, len(c), CHUNK):
+                    t[i : i + CHUNK] = predictions_of(c[i : i + CHUNK])
+            self.known = self.size
 
     def log10(self, batch: Batch, states: list[np.ndarray]) -> np.ndarray:
         """log10 of each word's probability where it stands, the blank after it included, from all slots' states."""
-        pairs, where, _ = batch.pairs()
+        return self.log10_of(batch, [PREDICTED.take(t) for t in states])
+
+    def log10_of(self, batch: Batch, tables: list[np.ndarray], known: Known | None = None) -> np.ndarray:
+        """The same from the slots' predictions; what ``known`` has from other batches isn't worked out again."""
+        units = Units(batch)
+        pairs = units.pairs
         out = np.zeros(len(pairs))
-        for which, raw, byte_of, hashes in contexts(batch, pairs):
-            of, turn, bit = self.code.events(raw)
-            found = [t.take(s) for t, s in zip(states, slots_of(hashes, of, turn), strict=True)]
-            _, x, cell = self.mixed([STRETCHED.take(s) for s in found], CONFIDENCE.take(found[-2]), CONFIDENCE.take(found[-1]))
-            p = self.probability(x, cell)
-            out[which] = np.bincount(byte_of.take(of), np.log10(np.where(bit == 1, p, 1 - p)), which.stop - which.start)
-        return np.bincount(batch.word_of, out[where], len(batch.words))
+        new = np.arange(len(pairs))
+        if known:
+            names = known.names(units, pairs)
+            new = known.look_up(names, out)
+        centred = self.refine.astype(np.float32).ravel() - np.float32(0.5)
+        for which, raw, first, hashes in contexts(units, pairs[new]):
+            of, at, begin = self.code.events(raw)
+            slots = slots_of(hashes, of, self.code.turn.take(at))
+            gate, x = self.mix([t.take(s) for t, s in zip(tables, slots, strict=True)])
+            map_ = centred.take(self.cells(gate, x))
+            sign = self.code.sign.take(at)
+            map_ *= sign
+            map_ += np.float32(0.5)
+            end = np.flatnonzero(np.abs(x) >= 7)
+            # the probability of the bit that is there, as in probability()
+            x *= sign
+            np.negative(x, out=x)
+            p = np.exp(x, out=x)
+            p += 1
+            np.reciprocal(p, out=p)
+            map_ += p
+            map_ *= np.float32(0.5)
+            map_[end] = p[end]
+            np.maximum(map_, np.float32(1e-7), out=map_)
+            np.log(map_, out=map_)
+            out[new[which]] = np.add.reduceat(map_, begin.take(first))
+        if known:
+            known.add(names[new], out[new])
+        return np.bincount(batch.word_of, out[units.where] * LOG10_E, len(batch.words))
+
+
+class Known:
+    """Scores of the pairs that were met last, by a hash of 64 bits; a pair takes the place of another one."""
+
+    def __init__(self, bits: int = 20):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.held, self.score = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.float32)
+
+    def names(self, units: Units, pairs: np.ndarray) -> np.ndarray:
+        left, right = units.split(pairs)
+        return _spread(units.whole.take(left) * PRIME + units.whole.take(right)) | np.uint64(1 << 63)
+
+    def look_up(self, names: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Fills in the scores that are there; the others' places."""
+        at = (names & self.mask).view(np.int64)
+        there = self.held.take(at) == names
+        out[there] = self.score.take(at[there])
+        return np.flatnonzero(~there)
+
+    def add(self, names: np.ndarray, scores: np.ndarray) -> None:
+        at = (names & self.mask).view(np.int64)
+        # of pairs with one place the last one stays in both arrays
+        self.score[at] = scores
+        self.held[at] = names
+
 
 def remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
@@ -511,6 +714,18 @@ def with_count_column(lm, c, total: int):
     return F.when(c > 0, most + F.log10(1 + F.pow(F.lit(10.0), F.least(a, b) - most))).otherwise(a)
 
 
+#: What a worker keeps from one task to the next.
+_KEPT: dict[str, tuple] = {}
+
+
+def kept(name: str, make: Callable[[], tuple]) -> tuple:
+    """What ``make`` gives, made once in a worker; only the last one asked for stays."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int = 1 << 16) -> DataFrame:
     """Scores of whole texts: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
@@ -532,20 +747,23 @@ def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, hot_words: int
     contexts_ = spark.sparkContext.broadcast(packed(states))
     top = vocabulary.orderBy(F.desc("n"), "word").limit(hot_words).toArrow()
     hot = spark.sparkContext.broadcast((top["word"].cast(pa.binary()).to_pylist(), top["c"].to_numpy()))
+    name = uuid.uuid4().hex
     # a row for each batch of a document with its hot words' sums (its key holds a blank, so no word), and one for each place of another word
     line = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("word", pa.string()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("lm", pa.float64()), ("bytes", pa.int64())])
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        names, hot_counts = hot.value
-        number = {w: i for i, w in enumerate(names)}
-        mixer, tables = BitMixer(code, weights, refine), unpacked(contexts_.value)
+        def make() -> tuple:
+            names, hot_counts = hot.value
+            return {w: i for i, w in enumerate(names)}, hot_counts, BitMixer(code, weights, refine), [PREDICTED.take(t) for t in unpacked(contexts_.value)], Known()
+
+        number, hot_counts, mixer, tables, known = kept(name, make)
         first = TaskContext.get().partitionId() << 40
         for batch in slices(batches, limit=BATCH):
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
             for some in batches_of(texts):
-                lm = mixer.log10(some, tables)
+                lm = mixer.log10_of(some, tables, known)
                 at = np.fromiter((number.get(k, -1) for k in some.keys), np.int64, len(some.keys))
                 c = np.where(at >= 0, hot_counts[at] if len(hot_counts) else 0, -1)[some.words]
                 size = np.fromiter((0 if k is None else len(k) + 1 for k in some.keys), np.int64, len(some.keys))[some.words]

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import pickle
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 
 from siftline.llm import context_mixing as M
 from siftline.llm import line_crf as C
@@ -338,6 +340,49 @@ def test_levels_keep_order_and_size(a, b):
     assert M.COUNT_OF[x] == pytest.approx(a, rel=0.3)
 
 
+def test_code_that_was_sent_is_as_fast():
+    """Arrays that were pickled have a type object of their own, with which numpy counts several times slower."""
+    code = M.Code(np.arange(256))
+    sent = pickle.loads(cloudpickle.dumps(code))
+    assert (sent.turn == code.turn).all() and (sent.bit == code.bit).all() and (sent.start == code.start).all()
+    assert sent.turn.dtype is np.dtype(np.int64) and sent.length.dtype is np.dtype(np.int64)
+
+
+def test_pairs_met_before_score_the_same(learnt):
+    texts, mixer, counts = learnt
+    states = [M.states_of(c) for c in counts]
+    tables = [M.PREDICTED.take(t) for t in states]
+    for known in (M.Known(), M.Known(bits=3)):  # few places: pairs drive out each other
+        for _ in range(2):
+            for batch in M.batches_of([*texts, b"unheard of words"], 200):
+                assert mixer.log10_of(batch, tables, known) == pytest.approx(mixer.log10(batch, states), rel=1e-5)
+
+
+@pytest.mark.parametrize("limit", [1, 40, 1 << 20])
+def test_batches_keep_words_and_what_is_before_them(limit):
+    for texts in (TEXTS, [b"", None, b" "], [b"a b", b"c"], [b"x" * 3000 + b" y"] * 2):
+        got = [[] for _ in texts]
+        for batch in M.batches_of(texts, limit):
+            for u, b, w in zip(batch.units, batch.before, batch.word_of, strict=True):
+                got[batch.doc[w]].append((M.unit_bytes(batch.keys[b]), M.unit_bytes(batch.keys[u])))
+        assert got == [slow_units(t or b"") for t in texts]
+
+
+def test_tables_follow_the_counts(learnt):
+    """Predictions are renewed as the text doubles, and never come from text that is still to be learnt."""
+    texts, mixer, counts = learnt
+    fresh, got = M.BitMixer.fresh(mixer.code), M.no_counts()
+    (batch,) = M.batches_of(texts)
+    fresh.learn(batch, got)
+    assert all((t[c > 0] == M.predictions_of(c[c > 0])).all() and not t[c == 0].any() for t, c in zip(fresh.tables, got, strict=True))
+    fresh.known = fresh.size
+    held = [t.copy() for t in fresh.tables]
+    fresh.learn(batch, got)  # twice the text: all are renewed after the last run
+    assert fresh.known == fresh.size
+    assert all((t[c > 0] == M.predictions_of(c[c > 0])).all() for t, c in zip(fresh.tables, got, strict=True))
+    assert any((a != b).any() for a, b in zip(held, fresh.tables, strict=True))
+
+
 def test_order_of_words_counts(spark):
     r = random.Random(5)
     words = [f"w{i:02d}" for i in range(60)]
